@@ -37,7 +37,11 @@ RECALL = 0.999
 SLACK = 0.35
 #: A lower bound of the chance that one run brings a pair at 0.8 into one leaf (one split: 0.84).
 RUN_RECALL = 0.7
-DEPTH = 24
+#: Splits of a large bucket; what is left of it then is compared in tiles.
+DEPTH = 6
+#: Sets whose estimate with a pivot is at least LEAVE leave the bucket; all from LINK on are its candidates.
+#: A neighbour (0.8) of one that leaves has at least 0.4 with the pivot; the rest allows for the estimate.
+LEAVE, LINK = 0.6, 0.3
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -111,8 +115,8 @@ def candidates(classes: DataFrame, threshold: float = 0.8, recall: float = RECAL
         pivot = large.where("id = pivot").select("key", F.col("sketch").alias("mark")).dropDuplicates(["key"])
         same = F.aggregate(F.zip_with("sketch", "mark", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
         large = stash(large.join(pivot, "key").withColumn("same", same).drop("mark"), "paths")
-        found.append(large.where((F.col("same") >= least * POSITIONS) & (F.col("id") != F.col("pivot"))).selectExpr("id AS a", "pivot AS b"))
-        rest = large.where(F.col("same") < threshold * POSITIONS)
+        found.append(large.where((F.col("same") >= LINK * POSITIONS) & (F.col("id") != F.col("pivot"))).selectExpr("id AS a", "pivot AS b"))
+        rest = large.where(F.col("same") < LEAVE * POSITIONS)
         level = rest.select("id", "sketch", F.explode(_children(F.col("key"))).alias("key"))
     else:  # sets that no split tells apart: all pairs of tiles
         n = tiled(level.select(F.col("key").alias("grp"), "id", "sketch"), "grp", "id")
