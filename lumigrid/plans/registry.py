@@ -1,6 +1,607 @@
-"""The named queries of the imaging operators and their SQL."""
+"""The named queries of the imaging operators and their SQL.
+
+The driver's tables are no rasters, so each operator runs on a fixed embedding of one: a pixel grid of width
+25 from ``embeddings``, overlapping sources from ``lineitem``, points and dates from ``events``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import geometry, load, pca, pixels
+from ..sources import catalog, envi
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+WIDTH = 25
+BAD = ((0, 0), (29, 32), (43, 50), (62, 63))
+DROP = (3, 7, 11, 19, 40)
+#: Affine transform of the embedded scene.
+T = (2.6, 0.0, 500000.0, 0.0, -2.6, 3800000.0)
+POLYGON = {1: [[(20.0, 50.0), (700.0, 90.0), (820.0, 400.0), (300.0, 320.0), (60.0, 420.0)], [(300.0, 150.0), (420.0, 150.0), (420.0, 260.0), (300.0, 260.0)]]}
+AREA = (40.0, 40.0, 60.0, 60.0)
+HEADERS = [
+    ("a", "ENVI\ndescription = {\n one, two}\nsamples = 10\nlines = 4\nbands = 3\ndata type = 4\ninterleave = bil\n; note\nBand Names = {red,\n green , blue}\nwavelength = { 1.5, 2.5,3.5 }\n"),
+    ("b", "ENVI\nsamples=598\nlines = 4388\nbands = 425\nheader offset = 128\nmap info = {UTM, 1, 1, 500000.0, 3800000.0, 2.6, 2.6, 16, North, WGS-84}\n"),
+    ("c", "not a header\nsamples = 1\n"),
+]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(
+        (F.col("vec_id") / WIDTH).cast("int").alias("y"), (F.col("vec_id") % WIDTH).cast("int").alias("x"), F.col("embedding").cast("array<double>").alias("bands")
+    )
+
+
+PX = "px AS (SELECT (vec_id // 25)::INT AS y, (vec_id % 25)::INT AS x, embedding::DOUBLE[] AS bands FROM embeddings)"
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# -- bands -----------------------------------------------------------------------------------------
+_BAD_SQL = " OR ".join(f"i - 1 BETWEEN {a} AND {b}" for a, b in BAD)
+_LONG = "SELECT y, x, (i - 1)::INT AS band, round(f[i], 6) AS value FROM ({}), unnest(range(1, len(f) + 1)) AS t(i)"
+
+
+@query(f"WITH {PX} " + _LONG.format(f"SELECT y, x, list_filter(bands, lambda v, i: NOT ({_BAD_SQL})) AS f FROM px"))
+def band_filter_default(spark, d):
+    kept = grid(spark, d).withColumn("bands", pixels.good(F.col("bands"), BAD))
+    return pixels.long(kept).select("y", "x", "band", r6("value", "value"))
+
+
+@query(f"WITH {PX} " + _LONG.format(f"SELECT y, x, list_filter(bands, lambda v, i: NOT (i - 1 IN {DROP})) AS f FROM px"))
+def band_drop_list(spark, d):
+    return pixels.long(pixels.band_filter(grid(spark, d), "radiance", DROP)).select("y", "x", "band", r6("value", "value"))
+
+
+@query(f"WITH {PX} SELECT y, x, bands[1] AS easting, bands[2] AS northing, bands[3] AS elevation FROM px")
+def band_layer(spark, d):
+    return pixels.layers(grid(spark, d), pixels.IGM)
+
+
+@query(f"WITH {PX} SELECT (i - 1)::INT AS band, min(bands[i]) AS low, max(bands[i]) AS high FROM px, unnest(range(1, 65)) AS t(i) GROUP BY 1")
+def band_stats(spark, d):
+    return pixels.band_stats(grid(spark, d))
+
+
+@query(f"WITH {PX} SELECT y, x, len(bands)::INT AS n, round(list_sum(list_transform(range(1, 65), lambda i: bands[i] * i)), 6) AS weighted FROM px")
+def band_stack(spark, d):
+    w = pixels.whole(pixels.long(grid(spark, d)), ["y", "x"])
+    total = F.aggregate(F.transform("bands", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return w.select("y", "x", F.size("bands").alias("n"), r6(total, "weighted"))
+
+
+# -- subsets ---------------------------------------------------------------------------------------
+@query(f"WITH {PX} SELECT y, x, bands[1] AS v FROM px WHERE y >= 5 AND y < 15 AND x >= 3 AND x < 20")
+def subset_index(spark, d):
+    return pixels.window(grid(spark, d), (5, 15), (3, 20)).select("y", "x", F.col("bands")[0].alias("v"))
+
+
+def _geo(spark, d):
+    return grid(spark, d).withColumns({"lat": F.lit(40.0) - F.col("y") * 0.1, "lon": F.lit(-120.0) + F.col("x") * 0.1})
+
+
+_GEO_SQL = f"WITH {PX}, geo AS (SELECT *, 40::DOUBLE - y * 0.1::DOUBLE AS lat, -120::DOUBLE + x * 0.1::DOUBLE AS lon FROM px)"
+
+
+@query(
+    _GEO_SQL + ", box AS (SELECT min(y) a, max(y) b, min(x) c, max(x) e FROM geo WHERE lat > 38.55::DOUBLE AND lat < 39.75::DOUBLE AND lon > -119.55::DOUBLE AND lon < -118.05::DOUBLE) "
+    "SELECT y, x, lat, lon FROM geo, box WHERE y >= a AND y < b AND x >= c AND x < e"
+)
+def subset_latlon_strict(spark, d):
+    return pixels.latlon(_geo(spark, d), (38.55, 39.75), (-119.55, -118.05)).select("y", "x", "lat", "lon")
+
+
+@query(_GEO_SQL + " SELECT y, x FROM geo WHERE lat BETWEEN 38.55::DOUBLE AND 39.75::DOUBLE AND lon BETWEEN -119.55::DOUBLE AND -118.05::DOUBLE")
+def subset_bbox_inclusive(spark, d):
+    return pixels.bbox(_geo(spark, d), (-119.55, 38.55, -118.05, 39.75), "lon", "lat").select("y", "x")
+
+
+@query(_GEO_SQL + " SELECT min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM geo")
+def union_bounds(spark, d):
+    return pixels.bounds(_geo(spark, d), "lon", "lat")
+
+
+@query(
+    f"WITH {PX} SELECT y, x, 500000::DOUBLE + x * 2.6::DOUBLE AS corner_x, 3800000::DOUBLE + y * -2.6::DOUBLE AS corner_y, "
+    "500000::DOUBLE + (x + 0.5::DOUBLE) * 2.6::DOUBLE AS centre_x, 3800000::DOUBLE + (y + 0.5::DOUBLE) * -2.6::DOUBLE AS centre_y FROM px"
+)
+def grid_transform(spark, d):
+    y, x = F.col("y"), F.col("x")
+    return grid(spark, d).select(
+        "y", "x", scalars.corner_x(T, x).alias("corner_x"), scalars.corner_y(T, y).alias("corner_y"), scalars.centre_x(T, x).alias("centre_x"), scalars.centre_y(T, y).alias("centre_y")
+    )
+
+
+@query(f"WITH {PX} SELECT y, x FROM px WHERE len(list_filter(bands, lambda v: v > 0.35::DOUBLE)) = 0")
+def nodata_any_row(spark, d):
+    holed = grid(spark, d).withColumn("bands", F.transform("bands", lambda v: F.when(v <= 0.35, v)))
+    return holed.where(~pixels.any_null(F.col("bands"))).select("y", "x")
+
+
+@query("SELECT event_id, CASE WHEN abs(round(value, 0) - 20) <= 1e-8::DOUBLE + 1e-5::DOUBLE * 20 THEN NULL ELSE value END AS value FROM events")
+def nodata_mask_isclose(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.when(~scalars.is_nodata(F.round("value", 0), 20.0), F.col("value")).alias("value"))
+
+
+# -- catalog ---------------------------------------------------------------------------------------
+def _lines(spark, d):
+    return table(spark, d, "events").select(F.date_format("ts", "yyyyMMdd").alias("date"), F.date_format("ts", "HHmmss").alias("time")).distinct()
+
+
+_LINES = "WITH lines AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS date, strftime(ts, '%H%M%S') AS time FROM events)"
+_PATHS = _LINES + """, paths AS (SELECT date, time, dataset, CASE dataset WHEN 'rfl' THEN '/data/' || date || '/L2a/ang' || date || 't' || time || '_rfl'
+  ELSE '/data/' || date || '/L1/' || dataset || '/ang' || date || 't' || time || '_' || dataset || CASE dataset WHEN 'rdn' THEN '_v2aa1_clip' ELSE '' END END AS path
+  FROM lines, unnest(['rfl', 'rdn', 'igm', 'obs']) AS t(dataset)) """
+
+
+@query(_LINES + " SELECT date, count(*) AS n FROM lines WHERE date BETWEEN '20240105' AND '20240112' GROUP BY date")
+def date_range_scenes(spark, d):
+    return catalog.between(_lines(spark, d), "20240105", "20240112").groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query(_LINES + " SELECT date, count(*)::INT AS n, min(time) AS first, max(time) AS last FROM lines GROUP BY date")
+def catalog_dates_times(spark, d):
+    files = catalog.paths(_lines(spark, d), "/data", ["rfl"]).select(F.concat("path", F.lit(".hdr")).alias("path"))
+    return catalog.dates_times(files).select("date", F.size("times").alias("n"), F.array_min("times").alias("first"), F.array_max("times").alias("last"))
+
+
+@query(_PATHS + "SELECT * FROM paths")
+def path_templates(spark, d):
+    return catalog.paths(_lines(spark, d), "/data", catalog.DATASETS)
+
+
+@query(_PATHS + "SELECT date, time, dataset, path FROM paths WHERE dataset = 'igm' AND date = '20240110'")
+def catalog_lookup(spark, d):
+    return catalog.scenes(catalog.paths(_lines(spark, d), "/data", catalog.DATASETS)).where("dataset = 'igm' AND date = '20240110'")
+
+
+@query(_PATHS + "SELECT date, regexp_extract(path, 'ang\\d{8}t\\d{6}') AS line, count(*) AS n, min(path) AS path FROM paths GROUP BY 1, 2")
+def flight_line_group(spark, d):
+    found = catalog.by_line(catalog.paths(_lines(spark, d), "/data", catalog.DATASETS))
+    return found.select("date", "line", "n", F.array_min("paths").alias("path"))
+
+
+@query(
+    _PATHS + "SELECT path, '/data/' || date || '/L1/glt/ang' || date || 't' || time || '_glt' AS glt, '/data/' || date || '/L1/rdn/ang' || date || 't' || time || '_rdn_v2aa1_clip' AS rdn, "
+    "'/data/' || date || '/L2a/ang' || date || 't' || time || '_rfl' AS rfl FROM paths"
+)
+def path_rewrite(spark, d):
+    p = catalog.paths(_lines(spark, d), "/data", catalog.DATASETS)
+    return p.select("path", *[scalars.sibling_path(F.col("path"), k).alias(k) for k in ("glt", "rdn", "rfl")])
+
+
+@query("SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events")
+def date_of_name(spark, d):
+    name = F.concat(F.lit("/data/x/"), F.date_format("ts", "yyyyMMdd"), F.lit("_rfl_phase.hdr"))
+    return table(spark, d, "events").select("event_id", scalars.date_of_name(name).alias("day"))
+
+
+# -- headers and byte ranges -----------------------------------------------------------------------
+@query("SELECT * FROM (VALUES ('a', 10, 4, 3, 0, 3, 'green', 2.5::DOUBLE, 'one, two'), ('b', 598, 4388, 425, 128, NULL, NULL, NULL, NULL)) t(name, samples, lines, bands, header_offset, names, second_name, second_wavelength, description)")
+def envi_header_parse(spark, d):
+    h = spark.createDataFrame(HEADERS, "name string, text string").select("name", envi.header_fields(F.col("text")).alias("h")).where("h IS NOT NULL")
+    names, waves = envi.header_list(F.col("h")["band names"]), envi.header_list(F.col("h")["wavelength"])
+    count = [F.coalesce(F.col("h")[k].cast("int"), F.lit(0)).alias(k.replace(" ", "_")) for k in ("samples", "lines", "bands", "header offset")]
+    return h.select(
+        "name", *count, F.when(names.isNotNull(), F.size(names)).alias("names"), names[1].alias("second_name"), waves[1].cast("double").alias("second_wavelength"),
+        F.trim(F.regexp_replace(F.col("h")["description"], r"[{}\n]", "")).alias("description"),
+    )
+
+
+@query("SELECT 'UTM' AS projection, 500000::DOUBLE AS easting, 3800000::DOUBLE AS northing, 2.6::DOUBLE AS x_size, 16 AS zone, 'North' AS direction, 'WGS-84' AS datum, 32616 AS epsg, '500000.0 2.6 0.0 3800000.0 0.0 -2.6' AS geo, 'UTM, 1, 1, 500000.0, 3800000.0, 2.6, 2.6, 11, South, WGS-84' AS moved")
+def map_info_parse(spark, d):
+    h = spark.createDataFrame(HEADERS, "name string, text string").select(envi.header_fields(F.col("text")).alias("h"))
+    raw = F.col("h")["map info"]
+    m = h.where(raw.isNotNull()).select(scalars.map_info(raw).alias("m"), F.regexp_replace(raw, r"[{}]", "").alias("raw"))
+    c = F.col("m")
+    return m.select(
+        *[c[k].alias(k) for k in ("projection", "easting", "northing", "x_size", "zone", "direction", "datum")], scalars.epsg_of_utm(c["zone"], c["direction"]).alias("epsg"),
+        scalars.geo_transform(c["easting"], c["northing"], c["x_size"], c["y_size"]).alias("geo"), scalars.with_zone(F.col("raw"), F.lit(11), F.lit("South")).alias("moved"),
+    )
+
+
+@query("SELECT s_suppkey, (CASE WHEN s_suppkey % 2 = 0 THEN 32600 ELSE 32700 END + s_suppkey % 60 + 1)::INT AS epsg FROM supplier")
+def epsg_from_utm(spark, d):
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("IGM in UTM Zone "), (k % 60 + 1).cast("string"), F.when(k % 2 == 0, " North").otherwise(" South"))
+    return table(spark, d, "supplier").select("s_suppkey", scalars.epsg_of_description(text).alias("epsg"))
+
+
+def _files(spark):
+    rows = [("rfl", "reflectance", 0, 598, 200, 425, None, 4, 0), ("loc", "longitude", 0, 10, 200, 3, 0, 8, 16), ("loc", "latitude", 0, 10, 200, 3, 1, 8, 16)]
+    return spark.createDataFrame(rows, "source_path string, var string, time_ix int, samples int, lines int, bands int, layer int, size int, header_offset int")
+
+
+_FILES = "(VALUES ('rfl', 'reflectance', 598, 425, NULL, 4, 0), ('loc', 'longitude', 10, 3, 0, 8, 16), ('loc', 'latitude', 10, 3, 1, 8, 16)) f(source_path, var, samples, bands, layer, size, off)"
+_RANGE = (
+    "line::INT AS line, (off + (line * bands + coalesce(layer, 0)) * samples * size)::BIGINT AS byte_offset, "
+    "(CASE WHEN layer IS NULL THEN bands ELSE 1 END * samples * size)::BIGINT AS byte_length"
+)
+
+
+@query(f"SELECT source_path, var, 0 AS time_ix, {_RANGE} FROM {_FILES}, range(200) t(line)")
+def byte_range_index(spark, d):
+    return envi.chunk_index(_files(spark))
+
+
+@query(f"{_LINES}, times AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS time_ix FROM (SELECT DISTINCT date FROM lines)) SELECT date || '_rfl_phase' AS source_path, var, time_ix, {_RANGE} FROM times, {_FILES}, range(200) t(line) WHERE var = 'reflectance'")
+def byte_range_multi_time(spark, d):
+    from pyspark.sql import Window
+
+    dates = _lines(spark, d).select("date").distinct()  # a row for each file
+    times = dates.withColumn("time_ix", F.row_number().over(Window.orderBy("date")) - 1)
+    one = _files(spark).where("var = 'reflectance'").drop("source_path", "time_ix")
+    files = times.crossJoin(F.broadcast(one)).withColumn("source_path", F.concat("date", F.lit("_rfl_phase")))
+    return envi.chunk_index(files)
+
+
+@query("SELECT i::BIGINT AS i, (i * 100)::BIGINT AS start, least(i * 100 + 100, 4388)::BIGINT AS stop FROM range(44) t(i)")
+def chunk_offsets(spark, d):
+    return pixels.chunks(spark.range(44).select(F.col("id").alias("i"), F.least(F.lit(100), F.lit(4388) - F.col("id") * 100).alias("n")))
+
+
+@query(f"SELECT i::BIGINT AS cell, (i // 7)::INT AS chunk FROM range(200) t(i)")
+def interval_lookup(spark, d):
+    """Which chunk a cell falls into: a range join through equal-width buckets."""
+    cells = spark.range(200).select(F.col("id").alias("cell"), (F.col("id") / 10).cast("int").alias("bucket"))
+    chunks = spark.range(29).select(F.col("id").cast("int").alias("chunk"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 7).alias("stop"))
+    chunks = chunks.withColumn("bucket", F.explode(F.sequence((F.col("start") / 10).cast("int"), ((F.col("stop") - 1) / 10).cast("int"))))
+    return cells.join(chunks, "bucket").where("cell >= start AND cell < stop").select("cell", "chunk")
+
+
+# -- orthorectification ----------------------------------------------------------------------------
+def _glt(spark, side: int = 30):
+    i = F.col("id")
+    raw = spark.range(side * side).select(
+        (i / side).cast("int").alias("gy"), (i % side).cast("int").alias("gx"),
+        F.when(i % 11 == 0, -9999).otherwise((i * 7) % 20 + 1).cast("int").alias("src_y"), F.when(i % 13 == 0, -9999).otherwise((i * 3) % WIDTH + 1).cast("int").alias("src_x"),
+    )
+    return pixels.glt(raw)
+
+
+_GLT = (
+    "glt AS (SELECT (i // 30)::INT AS gy, (i % 30)::INT AS gx, CASE WHEN i % 11 = 0 OR i % 13 = 0 THEN NULL ELSE ((i * 7) % 20)::INT END AS src_y, "
+    "CASE WHEN i % 11 = 0 OR i % 13 = 0 THEN NULL ELSE ((i * 3) % 25)::INT END AS src_x FROM range(900) t(i))"
+)
+_JOIN = f"WITH {PX}, {_GLT}, o AS (SELECT gy, gx, src_y, src_x, bands FROM glt LEFT JOIN px ON src_y = y AND src_x = x) "
+
+
+def _ortho(spark, d):
+    return pixels.orthorectify(grid(spark, d), _glt(spark))
+
+
+@query(_JOIN + "SELECT gy, gx, bands[6] AS v FROM o")
+def ortho_gather(spark, d):
+    return _ortho(spark, d).select("gy", "gx", F.get("bands", F.lit(5)).alias("v"))
+
+
+@query(_JOIN + "SELECT gy, gx, (i - 1)::INT AS band, bands[i] AS value FROM o, unnest(range(1, 65)) AS t(i) WHERE bands IS NOT NULL")
+def ortho_bands(spark, d):
+    return pixels.long(_ortho(spark, d)).select("gy", "gx", "band", "value")
+
+
+@query(_JOIN + "SELECT gy, gx, bands[1] AS v FROM o WHERE src_y >= 4 AND src_y < 12 AND src_x >= 5 AND src_x < 20")
+def ortho_windowed(spark, d):
+    cells = pixels.cells_of_window(_glt(spark), (4, 12), (5, 20))
+    return pixels.orthorectify(grid(spark, d), cells).select("gy", "gx", F.get("bands", F.lit(0)).alias("v"))
+
+
+@query(_JOIN + "SELECT gy, gx, 3800000::DOUBLE + gy * -2.6::DOUBLE AS lat, 500000::DOUBLE + gx * 2.6::DOUBLE AS lon, bands[1] AS v, bands[3] AS elevation FROM o")
+def ortho_with_elevation(spark, d):
+    px = grid(spark, d)
+    igm = pixels.layers(px, pixels.IGM).select("y", "x", "elevation")
+    cells = _glt(spark).withColumns({"lat": scalars.corner_y(T, F.col("gy")), "lon": scalars.corner_x(T, F.col("gx"))})
+    out = pixels.orthorectify(px.join(igm, ["y", "x"]), cells)
+    return out.select("gy", "gx", "lat", "lon", F.get("bands", F.lit(0)).alias("v"), "elevation")
+
+
+@query(_JOIN + "SELECT t::INT AS t, gy, gx, bands[t + 1] AS v FROM o, range(3) r(t)")
+def ortho_time(spark, d):
+    t = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.get("bands", F.lit(k)).alias("v")) for k in range(3)]))
+    px = grid(spark, d).select("y", "x", t.alias("s")).select("y", "x", "s.t", "s.v")
+    cells = _glt(spark).withColumn("t", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return pixels.orthorectify(px, cells, ["t"]).select("t", "gy", "gx", "v")
+
+
+@query(f"WITH {PX} SELECT y, x, bands[1] AS v, bands[2] AS northing FROM px")
+def attach_igm(spark, d):
+    px = grid(spark, d)
+    return px.join(pixels.layers(px, pixels.IGM), ["y", "x"]).select("y", "x", F.get("bands", F.lit(0)).alias("v"), "northing")
+
+
+@query(f"WITH {PX} SELECT y, x, CASE WHEN x < 15 THEN bands[1] END AS a, CASE WHEN x >= 10 THEN bands[2] END AS b FROM px")
+def merge_variables_outer(spark, d):
+    px = grid(spark, d)
+    a = px.where("x < 15").select("y", "x", F.get("bands", F.lit(0)).alias("a"))
+    return a.join(px.where("x >= 10").select("y", "x", F.get("bands", F.lit(1)).alias("b")), ["y", "x"], "full")
+
+
+# -- mosaics ---------------------------------------------------------------------------------------
+def _sources(spark, d):
+    c = F.col
+    v = F.when(c("l_discount") >= 0.03, c("l_quantity"))
+    return table(spark, d, "lineitem").select(
+        (c("l_partkey") % 200).cast("int").alias("row"), (c("l_suppkey") % 50).cast("int").alias("col"),
+        F.struct("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("src"), v.alias("v"),
+    )
+
+
+_SRC = (
+    "WITH s AS (SELECT (l_partkey % 200)::INT AS row, (l_suppkey % 50)::INT AS col, row(l_linenumber, l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS src, "
+    "CASE WHEN l_discount >= 0.03 THEN l_quantity END AS v FROM lineitem), canvas AS (SELECT (i // 50)::INT AS row, (i % 50)::INT AS col FROM range(10000) t(i)), m AS (SELECT row, col, {} AS v FROM s GROUP BY row, col) "
+    "SELECT canvas.row AS row, canvas.col AS col, v FROM canvas LEFT JOIN m USING (row, col)"
+)
+_METHODS = {
+    "first": "arg_min(v, src) FILTER (WHERE v IS NOT NULL)",
+    "last": "arg_max(v, src) FILTER (WHERE v IS NOT NULL)",
+    "min": "min(v)",
+    "max": "max(v)",
+    "sum": "sum(v)",
+    "count": "nullif(count(v), 0)",
+}
+
+
+def _mosaic_query(method: str, sql: str) -> None:
+    def run(spark, d):
+        return pixels.mosaic(_sources(spark, d), method, grid=pixels.canvas(spark, 200, 50))
+
+    run.__name__ = f"mosaic_{method}"
+    query(_SRC.format(sql))(run)
+
+
+for _m, _s in _METHODS.items():
+    _mosaic_query(_m, _s)
+
+
+@query(_SRC.format("list_reduce(list(v ORDER BY src) FILTER (WHERE v IS NOT NULL), lambda a, b: a * 0.5::DOUBLE + b)"))
+def mosaic_fold(spark, d):
+    return pixels.mosaic(_sources(spark, d), lambda a, b: a * 0.5 + b, grid=pixels.canvas(spark, 200, 50))
+
+
+_DAYS = "WITH v AS (SELECT strftime(ts, '%Y%m%d') AS time, (user_id % 8)::INT AS row, (event_id % 6)::INT AS col, value FROM events), m AS (SELECT time, row, col, max(value) AS v FROM v GROUP BY ALL)"
+
+
+def _days(spark, d):
+    e = table(spark, d, "events").select(
+        F.date_format("ts", "yyyyMMdd").alias("time"), (F.col("user_id") % 8).cast("int").alias("row"), (F.col("event_id") % 6).cast("int").alias("col"), "value"
+    )
+    return e.groupBy("time", "row", "col").agg(F.max("value").alias("v"))
+
+
+@query(_DAYS + ", c AS (SELECT time, (i // 7)::INT AS row, (i % 7)::INT AS col FROM (SELECT DISTINCT time FROM m), range(63) t(i)) SELECT c.time, c.row, c.col, v FROM c LEFT JOIN m USING (time, row, col)")
+def align_pad(spark, d):
+    m = _days(spark, d)
+    return pixels.align(m, m.select("time").distinct(), pixels.canvas(spark, 9, 7)).select("time", "row", "col", "v")
+
+
+@query(_DAYS + " SELECT time, row, col, v FROM m WHERE time IN ('20240103', '20240105')")
+def time_concat(spark, d):
+    m = _days(spark, d)
+    return m.where("time = '20240103'").unionByName(m.where("time = '20240105'"))
+
+
+@query(_DAYS + " SELECT time AS date, (max(row) + count(*) % 3)::INT AS height, (max(col) + 1)::INT AS width FROM m GROUP BY time ORDER BY (max(row) + count(*) % 3) * (max(col) + 1) DESC, time LIMIT 1")
+def largest_grid(spark, d):
+    s = _days(spark, d).groupBy("time").agg((F.max("row") + F.count("*") % 3).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width"))
+    return pixels.largest_grid(s.withColumnRenamed("time", "date"))
+
+
+# -- geometry --------------------------------------------------------------------------------------
+def _points(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", (F.col("user_id") % 1000).cast("double").alias("px"), (F.col("value")).alias("py"), "value")
+
+
+_EDGE_ROWS = ", ".join(
+    f"({g}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for g, rings in POLYGON.items() for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]])
+)
+_INSIDE = (
+    f"WITH e AS (SELECT g, x1::DOUBLE x1, y1::DOUBLE y1, x2::DOUBLE x2, y2::DOUBLE y2 FROM (VALUES {_EDGE_ROWS}) t(g, x1, y1, x2, y2)), "
+    "p AS (SELECT event_id, (user_id % 1000)::DOUBLE AS px, value AS py, value FROM events), "
+    "hit AS (SELECT event_id FROM p, e WHERE (y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) GROUP BY event_id HAVING count(*) % 2 = 1) "
+)
+
+
+@query(_INSIDE + "SELECT event_id, px, py FROM p WHERE event_id IN (FROM hit)")
+def clip_polygon(spark, d):
+    return geometry.clip(_points(spark, d), geometry.edges_of(spark, POLYGON), "event_id").select("event_id", "px", "py")
+
+
+@query(_INSIDE + "SELECT event_id FROM p WHERE event_id IN (FROM hit) AND px BETWEEN 100 AND 500 AND py BETWEEN 60 AND 300")
+def clip_bbox_then_polygon(spark, d):
+    return geometry.clip(pixels.bbox(_points(spark, d), (100, 60, 500, 300), "px", "py"), geometry.edges_of(spark, POLYGON), "event_id").select("event_id")
+
+
+@query(_INSIDE + "SELECT 1 AS geom_id, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM p WHERE event_id IN (FROM hit)")
+def zonal_stats(spark, d):
+    z = geometry.zonal(_points(spark, d), geometry.edges_of(spark, POLYGON), "event_id", "value")
+    return z.select("geom_id", "n", r6("mean", "mean"), "low", "high")
+
+
+@query(
+    f"WITH e AS (SELECT x1::DOUBLE x1, y1::DOUBLE y1, x2::DOUBLE x2, y2::DOUBLE y2 FROM (VALUES {_EDGE_ROWS}) t(g, x1, y1, x2, y2)), "
+    "c AS (SELECT i AS cell, (i % 40 * 25)::DOUBLE AS px, (i // 40 * 25)::DOUBLE AS py FROM range(1000) t(i)), "
+    "m AS (SELECT cell FROM c, e WHERE (y1 > py + 12.5) <> (y2 > py + 12.5) AND px + 12.5 < x1 + (py + 12.5 - y1) * (x2 - x1) / (y2 - y1) GROUP BY cell HAVING count(*) % 2 = 1), "
+    "k AS (SELECT cell, x1, y1, x2, y2, px, py, s / 200.0::DOUBLE AS t FROM c, e, range(201) q(s)), "
+    "n AS (SELECT DISTINCT cell FROM c, e WHERE greatest(0, CASE WHEN x2 <> x1 THEN least((px - x1) / (x2 - x1), (px + 25 - x1) / (x2 - x1)) ELSE 0 END, CASE WHEN y2 <> y1 THEN least((py - y1) / (y2 - y1), (py + 25 - y1) / (y2 - y1)) ELSE 0 END) "
+    "<= least(1, CASE WHEN x2 <> x1 THEN greatest((px - x1) / (x2 - x1), (px + 25 - x1) / (x2 - x1)) ELSE 1 END, CASE WHEN y2 <> y1 THEN greatest((py - y1) / (y2 - y1), (py + 25 - y1) / (y2 - y1)) ELSE 1 END) "
+    "AND (x2 <> x1 OR x1 BETWEEN px AND px + 25) AND (y2 <> y1 OR y1 BETWEEN py AND py + 25)) "
+    "SELECT cell FROM m UNION SELECT cell FROM n"
+)
+def clip_all_touched(spark, d):
+    i = F.col("id")
+    cells = spark.range(1000).select(i.alias("cell"), (i % 40 * 25).cast("double").alias("px"), (F.floor(i / 40) * 25).cast("double").alias("py"))
+    return geometry.touched(cells, geometry.edges_of(spark, POLYGON), "cell", 25.0).select("cell")
+
+
+def _scenes(spark, d):
+    k = F.col("o_orderkey")
+    x, y, w = (k % 97).cast("double"), (k % 89).cast("double"), (k % 60 + 5).cast("double")
+    o = table(spark, d, "orders")
+    return o.select(k.alias("scene_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"), x.alias("minx"), y.alias("miny"), (x + w).alias("maxx"), (y + w).alias("maxy"))
+
+
+@query(
+    "WITH s AS (SELECT o_orderkey AS scene_id, strftime(o_orderdate, '%Y%m%d') AS date, (o_orderkey % 97)::DOUBLE AS minx, (o_orderkey % 89)::DOUBLE AS miny, (o_orderkey % 60 + 5)::DOUBLE AS w FROM orders), "
+    "m AS (SELECT scene_id, date, minx <= 40 AND minx + w >= 60 AND miny <= 40 AND miny + w >= 60 AS contains FROM s WHERE minx <= 60 AND minx + w >= 40 AND miny <= 60 AND miny + w >= 40), "
+    "w AS (SELECT *, bool_or(contains) OVER (PARTITION BY date) AS a FROM m) SELECT scene_id, date, contains FROM w WHERE contains OR NOT a"
+)
+def scene_contains_else_intersects(spark, d):
+    return geometry.scenes_for(_scenes(spark, d), AREA).select("scene_id", "date", "contains")
+
+
+@query()
+def utm_round_trip(spark, d):
+    """Points of a zone to UTM and back."""
+    e = table(spark, d, "events").select("event_id", (F.col("value") % 60 + 5).alias("lat"), (F.lit(-117.0) + (F.col("user_id") % 100 - 50) * 0.05).alias("lon"))
+    east, north = scalars.utm_of(F.col("lat"), F.col("lon"), 11)
+    e = e.select("*", east.alias("east"), north.alias("north"))
+    lat, lon = scalars.geographic_of(F.col("east"), F.col("north"), 11)
+    return e.select("event_id", r6("east", "east"), r6("north", "north"), F.round(lat - F.col("lat"), 8).alias("off_lat"), F.round(lon - F.col("lon"), 8).alias("off_lon"))
+
+
+# -- components ------------------------------------------------------------------------------------
+@query(
+    f"WITH {PX}, l AS (SELECT a.i - 1 AS i, b.i - 1 AS j, count(*) AS n, sum(bands[a.i]) AS si, sum(bands[b.i]) AS sj, sum(bands[a.i] * bands[b.i]) AS sij FROM px, range(1, 65) a(i), range(1, 65) b(i) WHERE a.i <= b.i GROUP BY 1, 2) "
+    "SELECT i::INT AS i, j::INT AS j, round((sij - si * sj / n) / (n - 1), 8) AS cov FROM l"
+)
+def pca_covariance(spark, d):
+    return pca.covariance(grid(spark, d)).select("i", "j", F.round("cov", 8).alias("cov"))
+
+
+@query()
+def pca_scores(spark, d):
+    px = grid(spark, d)
+    out = pca.fit(px, 2).transform(px)
+    return out.select("y", "x", r6(F.get("pca", F.lit(0)), "pc0"), r6(F.get("pca", F.lit(1)), "pc1"))
+
+
+# -- display ---------------------------------------------------------------------------------------
+_RGB = f"WITH {PX}, l AS (SELECT y, x, k::INT AS band, bands[[10, 20, 30][k + 1] + 1] AS v FROM px, range(3) t(k)) "
+
+
+@query(_RGB + ", s AS (SELECT band, min(v) AS lo, max(v) AS hi FROM l GROUP BY band) SELECT y, x, band, round((v - lo) / nullif(hi - lo, 0), 6) AS value FROM l JOIN s USING (band)")
+def rgb_normalize(spark, d):
+    return pixels.rgb(grid(spark, d), (10, 20, 30), normalize=True).select("y", "x", "band", r6("value", "value"))
+
+
+@query(_RGB + "SELECT y, x, band, round(least(greatest(v * 100::DOUBLE + 3::DOUBLE, 0), 255), 6) AS value FROM l")
+def rgb_brighten(spark, d):
+    return pixels.rgb(grid(spark, d), (10, 20, 30), alpha=100.0, beta=3.0).select("y", "x", "band", r6("value", "value"))
+
+
+@query(_RGB + ", s AS (SELECT band, min(v) AS lo, max(v) AS hi FROM l GROUP BY band) SELECT y, x, band, round(pow((v - lo) / nullif(hi - lo, 0), 0.5), 6) AS value FROM l JOIN s USING (band)")
+def rgb_gamma(spark, d):
+    return pixels.rgb(grid(spark, d), (10, 20, 30), normalize=True, gamma=2.0).select("y", "x", "band", r6("value", "value"))
+
+
+# -- resampling ------------------------------------------------------------------------------------
+def _values(spark, d):
+    return grid(spark, d).select(F.col("y").alias("row"), F.col("x").alias("col"), F.get("bands", F.lit(0)).alias("v"))
+
+
+_BLOCKS = {
+    "average": "round(avg(v), 6)", "min": "min(v)", "max": "max(v)", "med": "round(quantile_cont(v, 0.5), 6)", "q1": "round(quantile_cont(v, 0.25), 6)",
+    "q3": "round(quantile_cont(v, 0.75), 6)", "sum": "round(sum(v), 6)", "rms": "round(sqrt(avg(v * v)), 6)",
+}
+
+
+@query(f"WITH {PX}, b AS (SELECT (y // 5)::INT AS row, (x // 5)::INT AS col, bands[1] AS v FROM px) SELECT row, col, " + ", ".join(f"{s} AS {m}" for m, s in _BLOCKS.items()) + " FROM b GROUP BY row, col")
+def resample_blocks(spark, d):
+    out = pixels.reduced(_values(spark, d), 5, tuple(_BLOCKS))
+    return out.select("row", "col", *[F.col(m) if m in ("min", "max") else r6(m, m) for m in _BLOCKS])
+
+
+@query(
+    f"WITH {PX}, b AS (SELECT (y // 5)::INT AS row, (x // 5)::INT AS col, round(bands[1], 1) + 0.0::DOUBLE AS v FROM px), c AS (SELECT row, col, v, count(*) AS n FROM b GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, v) AS k FROM c) SELECT row, col, v AS mode FROM r WHERE k = 1"
+)
+def resample_mode(spark, d):
+    return pixels.reduced(_values(spark, d).withColumn("v", F.round("v", 1) + 0.0), 5, ("mode",))
+
+
+def _target(spark, rows: int = 30, cols: int = 20):
+    return pixels.canvas(spark, rows, cols).withColumns({"at_row": (F.col("row") + 0.5) * 0.6 - 0.5, "at_col": (F.col("col") + 0.5) * 1.2 - 0.5})
+
+
+_TARGET = f"WITH {PX}, t AS (SELECT (i // 20)::INT AS row, (i % 20)::INT AS col, ((i // 20) + 0.5::DOUBLE) * 0.6::DOUBLE - 0.5::DOUBLE AS ar, ((i % 20) + 0.5::DOUBLE) * 1.2::DOUBLE - 0.5::DOUBLE AS ac FROM range(600) q(i)) "
+
+
+@query(_TARGET + "SELECT row, col, bands[1] AS v FROM t LEFT JOIN px ON y = floor(ar + 0.5::DOUBLE)::INT AND x = floor(ac + 0.5::DOUBLE)::INT")
+def resample_nearest(spark, d):
+    return pixels.resampled(_values(spark, d), _target(spark))
+
+
+def _kernel_query(name: str, half: int, weight: str) -> None:
+    sql = _TARGET + (
+        f", f AS (SELECT row, col, ar, ac, floor(ar)::INT + a AS nr, floor(ac)::INT + b AS nc FROM t, range({1 - half}, {half + 1}) p(a), range({1 - half}, {half + 1}) q(b)), "
+        f"w AS (SELECT row, col, ({weight.replace('@', '(nr - ar)')}) * ({weight.replace('@', '(nc - ac)')}) AS w, bands[1] AS v FROM f LEFT JOIN px ON y = nr AND x = nc) "
+        "SELECT row, col, round(sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 6) AS v FROM w GROUP BY row, col"
+    )
+
+    def run(spark, d):
+        return pixels.resampled(_values(spark, d), _target(spark), name).select("row", "col", r6("v", "v"))
+
+    run.__name__ = f"resample_{name}"
+    query(sql)(run)
+
+
+_kernel_query("bilinear", 1, "greatest(1 - abs(@), 0)")
+_kernel_query("cubic", 2, "CASE WHEN abs(@) <= 1 THEN 1.5::DOUBLE * abs(@) ** 3 - 2.5::DOUBLE * abs(@) ** 2 + 1 WHEN abs(@) < 2 THEN -0.5::DOUBLE * abs(@) ** 3 + 2.5::DOUBLE * abs(@) ** 2 - 4 * abs(@) + 2 ELSE 0 END")
+_kernel_query("lanczos", 3, "CASE WHEN abs(@) < 1e-12 THEN 1 WHEN abs(@) < 3 THEN 3 * sin(pi() * abs(@)) * sin(pi() * abs(@) / 3) / (pi() * @) ** 2 ELSE 0 END")
+_kernel_query("gauss", 2, "exp(-2 * @ * @)")
+
+
+# -- the whole chain -------------------------------------------------------------------------------
+_CHAIN = f"""
+WITH {PX}, sc AS (SELECT s AS scene_id, TIMESTAMP '2024-02-24 00:00:00' + INTERVAL (s * 7) HOUR AS time FROM range(6) t(s)),
+c AS (SELECT s AS scene_id, (i // 30)::INT AS row, (i % 30 + s)::INT AS col, ((i * 7) % 20)::INT AS sy, ((i * 3 + s) % 25)::INT AS sx FROM range(5) t(s), range(900) q(i) WHERE i % 11 <> 0),
+v AS (SELECT time::DATE AS day, time, row, col, CASE WHEN bands[c.scene_id + 1] > -0.1 THEN bands[c.scene_id + 1] END AS v FROM c JOIN px ON y = sy AND x = sx JOIN sc USING (scene_id)),
+m AS (SELECT day, row, col, arg_min(v, time) FILTER (WHERE v IS NOT NULL) AS v FROM v GROUP BY day, row, col),
+g AS (SELECT day, (i // 34)::INT AS row, (i % 34)::INT AS col FROM (SELECT DISTINCT day FROM m), range(1020) q(i))
+SELECT g.day, g.row, g.col, v FROM g LEFT JOIN m USING (day, row, col)
+"""
+
+
+def _chain(spark, d):
+    scenes = spark.range(6).select(F.col("id").alias("scene_id"), F.expr("timestamp_ntz'2024-02-24 00:00:00' + make_dt_interval(0, int(id * 7))").alias("time"))
+    bands = F.posexplode(F.slice("bands", 1, 6)).alias("scene_id", "v")
+    sensor = grid(spark, d).select("y", "x", bands).select(F.col("scene_id").cast("long").alias("scene_id"), "y", "x", F.when(F.col("v") > -0.1, F.col("v")).alias("v"))
+    i, s = F.col("id") % 900, F.floor(F.col("id") / 900)
+    glt = spark.range(5 * 900).where(i % 11 != 0).select(
+        s.cast("long").alias("scene_id"), F.floor(i / 30).cast("int").alias("row"), (i % 30 + s).cast("int").alias("col"),
+        (i * 7 % 20).cast("int").alias("src_y"), ((i * 3 + s) % 25).cast("int").alias("src_x"),
+    )
+    return load.load(scenes, sensor, glt, pixels.canvas(spark, 30, 34))
+
+
+@query(_CHAIN)
+def pipeline_end_to_end(spark, d):
+    return _chain(spark, d)[0].select("day", "row", "col", "v")
+
+
+@query(f"WITH {PX} SELECT 5::BIGINT AS scene_id, y, x, CASE WHEN bands[6] > -0.1 THEN bands[6] END AS v FROM px")
+def pipeline_without_glt(spark, d):
+    return _chain(spark, d)[1].select("scene_id", "y", "x", "v")
