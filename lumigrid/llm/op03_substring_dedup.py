@@ -64,6 +64,8 @@ def paragraphs(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_word
                     keys = hashing.mix(keys + low[:, :, r])
             keys = keys.view(np.int64)
             long = np.flatnonzero(np.diff(begin) >= min_words)
+            if not len(long):
+                continue
             yield pd.DataFrame(
                 {
                     "doc_id": [doc[u] for u in long],
