@@ -434,7 +434,7 @@ def clip_bbox_then_polygon(spark, d):
     return geometry.clip(pixels.bbox(_points(spark, d), (100, 60, 500, 300), "px", "py"), geometry.edges_of(spark, POLYGON), "event_id").select("event_id")
 
 
-@query(_INSIDE + "SELECT 1 AS geom_id, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM p WHERE event_id IN (FROM hit)")
+@query(_INSIDE + "SELECT 1 AS geom_id, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM p WHERE event_id IN (FROM hit) HAVING count(*) > 0")
 def zonal_stats(spark, d):
     z = geometry.zonal(_points(spark, d), geometry.edges_of(spark, POLYGON), "event_id", "value")
     return z.select("geom_id", "n", r6("mean", "mean"), "low", "high")
