@@ -70,6 +70,21 @@ def test_pca_against_full_decomposition(spark):
     assert np.abs(np.abs([got[i] for i in range(60)]) - np.abs(want)).max() < 1e-8
 
 
+def test_moments_by_brute_force(spark):
+    rows = [[1.0, 2.0, 3.0], [4.0, 5.0], [2.0, -1.0, 0.5], [1.0, float("nan"), 1.0], [None, 1.0], [], None, [7.0, 1.0, 2.0]]
+    df = spark.createDataFrame([(r,) for r in rows], "bands array<double>").repartition(3)
+    want = {}
+    for r in rows:
+        if r is None or any(v is None or v != v for v in r):
+            continue
+        for i in range(len(r)):
+            for j in range(i, len(r)):
+                old = want.get((i, j), (0, 0.0, 0.0, 0.0))
+                want[i, j] = tuple(a + b for a, b in zip(old, (1, r[i], r[j], r[i] * r[j])))
+    assert {(r["i"], r["j"]): tuple(r)[2:] for r in pca.moments(df).collect()} == want
+    assert pca.moments(df.limit(0)).count() == 0
+
+
 def test_binary_round_trip(spark, tmp_path):
     rng = np.random.default_rng(2)
     data = rng.normal(size=(7, 6, 4)).astype("<f4")
