@@ -195,15 +195,26 @@ def reduced(values: DataFrame, factor: int, methods=tuple(REDUCERS), value: str
     return values.withColumns(block).groupBy(*key, "row", "col").agg(*[REDUCERS[m](F.col(value)).alias(m) for m in methods])
 
 
-def resampled(values: DataFrame, target: DataFrame, method: str = "nearest", value: str = "v") -> DataFrame:
+def resampled(values: DataFrame, target: DataFrame, method: str = "nearest", value: str = "v", scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """``target`` (row, col, at_row, at_col: position in the source grid, 0 at a cell's centre) with values.
 
     Nearest is one equi-join; an interpolation joins each cell's neighbours and renormalises the
-    weights over those that are valid. The fan-out is fixed by the kernel.
+    weights over those that are valid. A reducer takes the valid cells whose centres lie in the target cell,
+    which is ``scale`` (rows, columns) source cells wide, its lower ends included; without such, the nearest.
+    The fan-out is fixed by the kernel or the scale.
     """
     if method not in RESAMPLING:
         raise ValueError(f"unknown resampling: {method}")
     source = values.select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), value)
+    if method in REDUCERS:
+
+        def centres(c: str, width: float) -> Column:
+            low, high = F.ceil(F.col(c) - width / 2).cast("int"), F.ceil(F.col(c) + width / 2).cast("int") - 1
+            return F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array(F.floor(F.col(c) + 0.5).cast("int"))))
+
+        fan = target.withColumn("near_row", centres("at_row", scale[0])).withColumn("near_col", centres("at_col", scale[1]))
+        found = fan.join(source, ["near_row", "near_col"], "left")
+        return found.groupBy("row", "col").agg(REDUCERS[method](F.col(value)).alias(value))
     if method not in KERNELS:
         near = {f"near_{c}": F.floor(F.col(f"at_{c}") + 0.5).cast("int") for c in ("row", "col")}
         return target.withColumns(near).join(source, ["near_row", "near_col"], "left").select("row", "col", value)

@@ -554,6 +554,22 @@ def resample_nearest(spark, d):
     return pixels.resampled(_values(spark, d), _target(spark))
 
 
+_AREA = (2.75, 2.625)
+
+
+@query(
+    f"WITH {PX}, t AS (SELECT (i // 9)::INT AS row, (i % 9)::INT AS col, (i // 9) * {_AREA[0]}::DOUBLE - 0.5::DOUBLE AS lr, (i % 9) * {_AREA[1]}::DOUBLE - 0.5::DOUBLE AS lc FROM range(63) q(i)) "
+    "SELECT row, col, round(avg(bands[1]), 6) AS average, round(quantile_cont(bands[1], 0.5), 6) AS med, max(bands[1]) AS max FROM t "
+    f"LEFT JOIN px ON y >= lr AND y < lr + {_AREA[0]}::DOUBLE AND x >= lc AND x < lc + {_AREA[1]}::DOUBLE GROUP BY row, col"
+)
+def resample_area(spark, d):
+    at = {f"at_{c}": (F.col(c) + 0.5) * s - 0.5 for c, s in zip(("row", "col"), _AREA)}
+    target = pixels.canvas(spark, 7, 9).withColumns(at)
+    made = [pixels.resampled(_values(spark, d), target, m, scale=_AREA).withColumnRenamed("v", m) for m in ("average", "med", "max")]
+    out = made[0].join(made[1], ["row", "col"]).join(made[2], ["row", "col"])
+    return out.select("row", "col", r6("average", "average"), r6("med", "med"), "max")
+
+
 def _kernel_query(name: str, half: int, weight: str) -> None:
     sql = _TARGET + (
         f", f AS (SELECT row, col, ar, ac, floor(ar)::INT + a AS nr, floor(ac)::INT + b AS nc FROM t, range({1 - half}, {half + 1}) p(a), range({1 - half}, {half + 1}) q(b)), "

@@ -85,6 +85,21 @@ def test_moments_by_brute_force(spark):
     assert pca.moments(df.limit(0)).count() == 0
 
 
+def test_reducers_on_an_aligned_grid_are_block_reducers(spark):
+    rng = np.random.default_rng(4)
+    rows = [(r, c, None if rng.random() < 0.2 else float(rng.integers(0, 6))) for r in range(12) for c in range(9)]
+    values = spark.createDataFrame(rows, "row int, col int, v double")
+    target = pixels.canvas(spark, 4, 3).selectExpr("row", "col", "row * 3.0D + 1 AS at_row", "col * 3.0D + 1 AS at_col")
+    want = {(r["row"], r["col"]): r for r in pixels.reduced(values, 3).collect()}
+    for m in pixels.REDUCERS:
+        got = pixels.resampled(values, target, m, scale=(3, 3)).collect()
+        assert len(got) == 12
+        for r in got:
+            assert r["v"] == pytest.approx(want[r["row"], r["col"]][m])
+    fine = spark.createDataFrame([(0, 0, 3.3, 2.8)], "row int, col int, at_row double, at_col double")
+    assert pixels.resampled(values, fine, "max", scale=(0.1, 0.1)).first()["v"] == next(v for r, c, v in rows if (r, c) == (3, 3))
+
+
 def test_binary_round_trip(spark, tmp_path):
     rng = np.random.default_rng(2)
     data = rng.normal(size=(7, 6, 4)).astype("<f4")
