@@ -115,6 +115,9 @@ def cells_of_window(cells: DataFrame, y: tuple[int, int], x: tuple[int, int]) ->
     return cells.where((F.col("src_y") >= y[0]) & (F.col("src_y") < y[1]) & (F.col("src_x") >= x[0]) & (F.col("src_x") < x[1]))
 
 
+MANY_TIMES = 10_000
+
+
 # -- mosaics ---------------------------------------------------------------------------------------
 def merged(method, value: str = "v", order: str = "src") -> Column:
     """Aggregate of the valid values of a cell: a method's name, or a function of two columns to fold in order."""
@@ -155,8 +158,12 @@ def largest_grid(shapes: DataFrame) -> DataFrame:
 
 
 def align(values: DataFrame, times: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every date on all cells of the grid, null where it has none: dates (few) times cells."""
-    return F.broadcast(times).crossJoin(grid).join(values, ["time", "row", "col"], "left")
+    """Every date on all cells of the grid, null where it has none: the result has dates times cells rows.
+
+    Up to ``MANY_TIMES`` dates, counted first, are broadcast; Spark plans the product otherwise.
+    """
+    few = times.limit(MANY_TIMES + 1).count() <= MANY_TIMES
+    return (F.broadcast(times) if few else times).crossJoin(grid).join(values, ["time", "row", "col"], "left")
 
 
 # -- resampling ------------------------------------------------------------------------------------
