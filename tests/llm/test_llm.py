@@ -216,3 +216,41 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert now.columns == docs.columns
     left = {r["doc_id"]: r["text"] for r in now.collect()}
     assert 0 in left and 1 not in left and 2 not in left and "\n" not in left[8]
+
+
+def _shingles(text):
+    w = __import__("re").findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _same(a, b):
+    return bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+
+
+def test_pipeline_by_brute_force(spark, docs, tmp_path):
+    spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
+    good = corpus_pipeline.quality(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    texts = {r["doc_id"]: r["text"] for r in sorted(good, key=lambda r: r["doc_id"])}
+    sets, group = {i: _shingles(t) for i, t in texts.items()}, {}
+    for i in texts:  # in order of doc_id, so that a group is named by its smallest
+        met = {group[j] for j in group if _same(sets[i], sets[j])} | {i}
+        group = {j: min(met) if g in met else g for j, g in (group | {i: i}).items()}
+    seen, want = [], {}
+    for i in (i for i in texts if group[i] == i):
+        kept = []
+        for line in (texts[i] or "").split("\n"):
+            s = _shingles(line) if len(line.split()) >= op03_substring_dedup.MIN_WORDS else set()
+            if not any(_same(s, o) for o in seen):
+                kept.append(line)
+                seen += [s] if s else []
+        want[i] = "\n".join(kept)
+    assert len(want) < len(texts) and any(want[i] != (texts[i] or "") for i in want)
+    encoder = op10_packing.Encoder(str(__import__("public_tokenizers").path("word_bpe_49k.json")))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == set(want)
+    for i, text in want.items():
+        ids = np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
+        assert [s for s, _, _ in own] == np.cumsum([0] + [n for _, n, _ in own])[:-1].tolist() and sum(n for _, n, _ in own) == len(ids)
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in own)
