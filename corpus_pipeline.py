@@ -21,8 +21,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the paragraphs that repeat an earlier one; n_chars follows the text."""
-    made = op03_substring_dedup.dedup(docs).drop("removed_lines", "repeats_of", "class_id")
+    """All documents, without the paragraphs and runs of words that repeat an earlier one; n_chars follows the text."""
+    made = op03_substring_dedup.dedup(docs).drop("removed_lines", "removed_windows", "repeats_of", "class_id")
     return made.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -87,6 +87,37 @@ def unit_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, begins)
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of ``word_hashes``."""
+    edge = np.diff(np.concatenate([[0], _IS_WORD[np.frombuffer(data, dtype=np.uint8)].view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each word on that has as many."""
+    n = len(words)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(max(_BLOCK, 1 << int(n).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
+        return mix((total[width:] - total[:-width]) * inverse[: n - width + 1])
+
+
+def window_keys(words: np.ndarray, begin: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and first words of all windows of ``width`` words inside a unit: the smallest hash of the runs of ``gram`` words in it."""
+    low, held, most = runs(words, gram), 1, width - gram + 1
+    if len(words) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    while held < most:
+        step = min(held, most - held)
+        low = np.minimum(low[:-step], low[step:])
+        held += step
+    left = np.repeat(begin[1:], np.diff(begin)) - np.arange(len(words))
+    at = np.flatnonzero(left >= width)
+    return low[at], at
+
+
 def shingles(words: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` successive words of each unit, and where each unit's shingles begin.
 

@@ -1,20 +1,29 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup: paragraph MinHash banding for near copies of lines, windows of words for repeats anywhere.
 
-A paragraph is a line of a text; those of at least ``MIN_WORDS`` words take part. Paragraphs with
+Two kinds of units are cut. The first are paragraphs, lines of at least ``MIN_WORDS`` words. Paragraphs with
 equal sets of five-word shingles are one class. Each class gets banded minima, the bands tuned so
 that a pair at the threshold collides with probability ``RECALL``; classes that collide in a band are
 linked to the smallest of the band, components of those links are candidate groups, and inside a
 group all pairs are verified by exact Jaccard similarity, in tiles. Components of the verified links
 are clusters: the first occurrence of each, by (doc_id, line), stays, and the others are cut out.
 
+The second are all windows of ``RUN`` successive words of the text without those lines, whatever its line ends. Of equal
+windows the first, by (doc_id, word), stays, and the words of the others are cut; a later window that overlaps the
+first one in its own document stays too. So each run of over 50 words that repeats word for word is cut (not one that arises
+only where a cut line stood between its words, and near copies of less than a line stay). A window's key is the
+smallest hash of the ``GRAM``-word runs in it, equal for equal windows and for most neighbours; only windows whose key occurs in
+several places are hashed and compared.
+
 Defined results: null texts stay null and empty texts stay empty. Lines that are left keep their order and their
-newlines. A repeat inside one document is cut out too. Rows with a null doc_id or with a doc_id that
+newlines; a line that loses all its words goes. A repeat inside one document is cut out too. Rows with a null doc_id or with a doc_id that
 occurs before keep their text: no line of theirs can be named. An empty table gives an empty result.
 Other columns pass through.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +38,8 @@ from .setsim import TILE, tiled, verified
 MIN_WORDS = 40
 RECALL = 0.999
 MAX_BANDS = 12
+#: Words of a window, the shortest repeat cut, and of the runs whose smallest hash is its key.
+RUN, GRAM = 51, 25
 
 
 def tuned_bands(threshold: float = 0.8, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -105,24 +116,121 @@ def clusters(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words:
     return found.select("doc_id", "line", "id").join(named, "id").select("doc_id", "line", "cluster", "first")
 
 
+def repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, at (first word), source (doc_id of the window that stays) of the windows to cut.
+
+    ``lines``: doc_id, removed_lines; no window that touches one of these takes part.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = source.where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+    def keyed(frames):
+        for frame in frames:
+            words, begin = hashing.unit_words(frame["text"].tolist())
+            keys, at = hashing.window_keys(words, begin, RUN, GRAM)
+            if not len(at):
+                continue
+            doc = np.searchsorted(begin, at, side="right") - 1
+            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]))
+            n = np.diff(np.append(first, len(at)))
+            yield pd.DataFrame(
+                {"doc_id": frame["doc_id"].to_numpy()[doc[first]], "at": (at - begin[doc])[first].astype(np.int32), "n": n.astype(np.int32), "key": keys[first].view(np.int64)}
+            )
+
+    keys = stash(source.mapInPandas(keyed, "doc_id long, at int, n int, key long"), "keys")
+    # One place of a key holds two windows apart from each other only if it is a long run, as of one word.
+    several = keys.groupBy("key").agg(F.count("*").alias("places"), F.max("n").alias("n")).where(f"places > 1 OR n > {RUN}").select("key")
+    spots = keys.join(several, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
+    spots = spots.join(lines, "doc_id", "left")
+
+    def hashed(frames):
+        for frame in frames:
+            words, begin = hashing.unit_words(frame["text"].tolist())
+            hashes = hashing.runs(words, RUN)
+            for k, (doc, text, spot, gone) in enumerate(zip(frame["doc_id"], frame["text"], frame["spots"], frame["removed_lines"])):
+                last = begin[k + 1] - begin[k] - RUN
+                at = np.unique(np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in spot]))
+                at = at[at <= last]  # of a row whose doc_id stands for several texts
+                if gone is not None and len(gone):
+                    line = word_lines(text)[2]
+                    held = np.concatenate([[0], np.cumsum(np.isin(line, gone))])
+                    at = at[held[at + RUN] == held[at]]
+                if len(at):
+                    yield pd.DataFrame({"doc_id": doc, "at": at.astype(np.int32), "window": hashes[begin[k] + at].view(np.int64)})
+
+    rows = source.join(spots, "doc_id").select("doc_id", "text", "spots", "removed_lines")
+    rows = stash(rows.mapInPandas(hashed, "doc_id long, at int, window long"), "windows")
+    first = rows.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
+    cut = rows.join(first, "window").where(f"doc_id <> first.doc_id OR at >= first.at + {RUN}")
+    return cut.select("doc_id", "at", F.col("first.doc_id").alias("source"))
+
+
+def word_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end, in bytes, and line number of each word of a text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    start, end = hashing.word_places(raw)
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    return start, end, np.searchsorted(breaks, start)
+
+
+def without(text: str, lines, at) -> str:
+    """A text without some lines and the words of the windows that start at ``at``.
+
+    Marks and blanks that follow a cut word go with it, up to the next word; newlines stay.
+    """
+    start, end, line = word_lines(text)
+    edge = np.zeros(len(start) + 1, np.int64)
+    np.add.at(edge, np.asarray(at, np.int64), 1)
+    np.add.at(edge, np.asarray(at, np.int64) + RUN, -1)
+    cut = np.cumsum(edge)[:-1] > 0
+    raw, gone, out = text.encode("utf-8", "surrogatepass"), set(lines), []
+    past_line = -1
+    for k, part in enumerate(raw.split(b"\n")):
+        begin, past_line = past_line + 1, past_line + 1 + len(part)
+        a, b = np.searchsorted(line, [k, k + 1])
+        here = cut[a:b]
+        if k not in gone and not (len(here) and here.all()):
+            if here.any():
+                kept, done = [], begin
+                past = np.append(start[a + 1 : b], past_line)
+                for w in np.flatnonzero(here):
+                    kept.append(raw[done : start[a + w]])
+                    done = end[a + w] + re.match(rb"\S*\s*", raw[end[a + w] : past[w]]).end()
+                part = b"".join(kept) + raw[done:past_line]
+            out.append(part)
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
+
+
 def dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without the paragraphs that repeat an earlier one; other columns as they were.
+    """The documents without what repeats an earlier paragraph or run of words; other columns as they were.
 
-    Added: ``removed_lines`` (array of int), ``repeats_of`` (array of doc_id whose paragraph stays for
-    one of these) and ``class_id`` (smallest doc_id among itself and those).
+    Added: ``removed_lines`` (array of int), ``removed_windows`` (array of int: first words of the windows cut
+    besides), ``repeats_of`` (array of doc_id whose text stays for one of these) and ``class_id`` (smallest doc_id among
+    itself and those).
     """
     cut = clusters(docs, threshold, width, min_words).where("struct(doc_id, line) <> first")
-    per_doc = cut.groupBy("doc_id").agg(
-        F.sort_array(F.collect_set("line")).alias("removed_lines"), F.sort_array(F.collect_set("first.doc_id")).alias("repeats_of")
+    lines = stash(cut.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"), F.collect_set("first.doc_id").alias("sources")), "cuts")
+    windows = repeats(docs, lines.drop("sources"))
+    windows = windows.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("removed_windows"), F.collect_set("source").alias("more"))
+    ids, ints = F.array().cast("array<long>"), F.array().cast("array<int>")
+    per_doc = lines.join(windows, "doc_id", "full").select(
+        F.col("doc_id").alias("_doc"),
+        F.coalesce("removed_lines", ints).alias("removed_lines"),
+        F.coalesce("removed_windows", ints).alias("removed_windows"),
+        F.array_sort(F.array_union(F.coalesce("sources", ids), F.coalesce("more", ids))).alias("repeats_of"),
     )
-    per_doc = per_doc.select(F.col("doc_id").alias("_doc"), "removed_lines", "repeats_of")
     out = docs.join(per_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("removed_lines", k)), "\n")
-    none = F.array().cast("array<long>")
+
+    @F.pandas_udf("string")
+    def left(text: pd.Series, lines: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or k is None or not len(k) + len(w) else without(t, k, w) for t, k, w in zip(text, lines, at)], dtype=object)
+
     return out.select(
-        *[F.when(F.col("removed_lines").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce("removed_lines", none.cast("array<int>")).alias("removed_lines"),
-        F.coalesce("repeats_of", none).alias("repeats_of"),
+        *[left(F.col("text").cast("string"), "removed_lines", "removed_windows").alias("text") if c == "text" else docs[c] for c in docs.columns],
+        F.coalesce("removed_lines", ints).alias("removed_lines"),
+        F.coalesce("removed_windows", ints).alias("removed_windows"),
+        F.coalesce("repeats_of", ids).alias("repeats_of"),
         F.least(F.col("doc_id").cast("long"), F.coalesce(F.array_min("repeats_of"), F.col("doc_id").cast("long"))).alias("class_id"),
     )
 

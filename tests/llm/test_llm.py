@@ -254,3 +254,16 @@ def test_pipeline_by_brute_force(spark, docs, tmp_path):
         own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
         assert [s for s, _, _ in own] == np.cumsum([0] + [n for _, n, _ in own])[:-1].tolist() and sum(n for _, n, _ in own) == len(ids)
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in own)
+
+
+def test_substring_inside_and_across_lines(spark):
+    """A passage of 55 words inside longer lines, and split over short lines, goes from all documents but the first."""
+    passage, ends = prose(55), [prose(100) for _ in range(6)]
+    words = passage.split()
+    split = "\n".join(" ".join(words[k : k + 11]) for k in range(0, 55, 11))
+    texts = [f"{ends[0]} {passage}. {ends[1]}", f"{ends[2]} x {passage.upper()}. y {ends[3]}", f"{ends[4]}\n{split}\nz {ends[5]}", "é, " + "na " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: r for r in op03_substring_dedup.dedup(df).collect()}
+    assert by[0]["text"] == texts[0] and by[1]["text"] == f"{ends[2]} x y {ends[3]}" and by[2]["text"] == f"{ends[4]}\nz {ends[5]}"
+    assert by[1]["repeats_of"] == by[2]["repeats_of"] == [0] and by[1]["removed_lines"] == []
+    assert len(by[3]["text"].split()) in range(51, 60)  # the first window stays whole
