@@ -8,7 +8,7 @@ position, or two in a quarter of the nodes, so 1/0.8 on average, are sampled fro
 the sets are split by the token there. Buckets of up to ``LEAF`` sets are compared by brute force on
 their sketches; in a larger one all sets are compared with a pivot, those so near to it that
 all their neighbours must be candidates of the pivot too leave, and the rest is split again. Runs
-repeat until a pair at the threshold is found with probability ``RECALL``. Candidates (estimates of
+repeat until a pair at the threshold is found with probability ``RECALL`` at the greatest number of splits. Candidates (estimates of
 at least ``threshold - SLACK``) are joined to groups by components; inside a group all pairs are
 compared exactly, in tiles, and only link counts and spanning links leave a task.
 
@@ -35,8 +35,6 @@ POSITIONS = 64
 LEAF = 64
 RECALL = 0.999
 SLACK = 0.35
-#: A lower bound of the chance that one run brings a pair at 0.8 into one leaf (one split: 0.84).
-RUN_RECALL = 0.7
 #: Splits of a large bucket; what is left of it then is compared in tiles.
 DEPTH = 6
 #: Sets whose estimate with a pivot is at least LEAVE leave the bucket; all from LINK on are its candidates.
@@ -44,6 +42,20 @@ DEPTH = 6
 LEAVE, LINK = 0.6, 0.3
 
 
+def run_recall(threshold: float, splits: int = DEPTH + 1) -> float:
+    """The chance that a pair at the threshold is still together somewhere after the root's split and all others of a run."""
+    together = 1.0
+    for _ in range(splits):
+        once = threshold * together
+        together = 0.75 * once + 0.25 * (1 - (1 - once) ** 2)
+    return together
+
+
+def runs_for(threshold: float, recall: float = RECALL) -> int:
+    """Runs that find a pair at the threshold with ``recall``, even if its buckets are split to the greatest depth."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(run_recall(threshold), 1 - 1e-9))))
+
+
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, digest (null without words), size, sketch (array of 64 int)."""
 
@@ -99,8 +111,7 @@ def _leaf_links(rows: DataFrame, least: float) -> DataFrame:
 def candidates(classes: DataFrame, threshold: float = 0.8, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) among classes (id, sketch) that connect, with ``recall``, all similar pairs."""
     least = max(0.0, threshold - SLACK)
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - RUN_RECALL)))
-    roots = F.array(*[F.lit(r).cast("long") for r in range(runs)])
+    roots = F.array(*[F.lit(r).cast("long") for r in range(runs_for(threshold, recall))])
     level = classes.select("id", F.explode(F.flatten(F.transform(roots, _children))).alias("key"))
     found = []
     for depth in range(DEPTH):

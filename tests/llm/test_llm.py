@@ -267,3 +267,18 @@ def test_substring_inside_and_across_lines(spark):
     assert by[0]["text"] == texts[0] and by[1]["text"] == f"{ends[2]} x y {ends[3]}" and by[2]["text"] == f"{ends[4]}\nz {ends[5]}"
     assert by[1]["repeats_of"] == by[2]["repeats_of"] == [0] and by[1]["removed_lines"] == []
     assert len(by[3]["text"].split()) in range(51, 60)  # the first window stays whole
+
+
+def test_join_recall_where_buckets_split_often(spark):
+    """Pairs at 0.8 among many sets of one quoted passage: small leaves, so that nearly all buckets split to the last depth."""
+    rng, n = np.random.default_rng(5), 250
+    quoted = rng.random((2 * n + 400, 64)) < 0.25
+    s = np.where(quoted, np.arange(64), rng.integers(1000, 1 << 30, quoted.shape))
+    s[1 : 2 * n : 2] = np.where(rng.permuted(np.tile(np.arange(64) < 51, (n, 1)), axis=1), s[: 2 * n : 2], s[1 : 2 * n : 2])
+    rows = [(i, [int(x) for x in r]) for i, r in enumerate(s)]
+    found = op07_jaccard_join.candidates(spark.createDataFrame(rows, "id long, sketch array<int>"), leaf=1)
+    node = {r["node"]: r["component"] for r in components.components(found).collect()}
+    assert sum(i not in node or node[i] != node.get(i + 1) for i in range(0, 2 * n, 2)) <= 2
+    for splits in range(1, op07_jaccard_join.DEPTH + 2):
+        missed = (1 - op07_jaccard_join.run_recall(0.8, splits)) ** op07_jaccard_join.runs_for(0.8)
+        assert missed <= 1 - op07_jaccard_join.RECALL
