@@ -282,3 +282,31 @@ def test_join_recall_where_buckets_split_often(spark):
     for splits in range(1, op07_jaccard_join.DEPTH + 2):
         missed = (1 - op07_jaccard_join.run_recall(0.8, splits)) ** op07_jaccard_join.runs_for(0.8)
         assert missed <= 1 - op07_jaccard_join.RECALL
+
+
+def test_pipeline_leaves_no_repeated_run(spark, tmp_path):
+    """No run of over 50 words stands in two documents after the substring stage, wherever lines end; all else stays."""
+    passage = prose(55).split()
+    broken = "\n".join(" ".join(passage[k : k + 11]) for k in range(0, 55, 11))
+    texts = [f"{prose(90)} {' '.join(passage)} x {prose(90)}", f"{prose(90)} y {' '.join(passage)} z", f"{prose(90)}\n{broken}\nw {prose(30)}", prose(90)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+
+    def words(text):
+        return __import__("re").findall(r"[^\W_]+", text.lower())
+
+    def spread(texts):
+        held = {}
+        for i, t in texts.items():
+            w = words(t)
+            for k in range(len(w) - 50):
+                held.setdefault(tuple(w[k : k + 51]), set()).add(i)
+        return [k for k, v in held.items() if len(v) > 1]
+
+    assert spread(dict(enumerate(texts)))
+    now = df
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        now = stage(spark, now, str(tmp_path))
+    rows = {r["doc_id"]: r for r in now.collect()}
+    left = {i: r["text"] for i, r in rows.items()}
+    assert sorted(left) == [0, 1, 2, 3] and not spread(left) and left[0] == texts[0] and left[3] == texts[3]
+    assert all(len(words(left[i])) >= len(words(texts[i])) - 56 and rows[i]["n_chars"] == len(left[i]) for i in left)
