@@ -181,8 +181,10 @@ def without(text: str, lines, at) -> str:
     """
     start, end, line = word_lines(text)
     edge = np.zeros(len(start) + 1, np.int64)
-    np.add.at(edge, np.asarray(at, np.int64), 1)
-    np.add.at(edge, np.asarray(at, np.int64) + RUN, -1)
+    at = np.asarray(at, np.int64)
+    at = at[at <= len(start) - RUN]  # of a row whose doc_id stands for several texts
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + RUN, -1)
     cut = np.cumsum(edge)[:-1] > 0
     raw, gone, out = text.encode("utf-8", "surrogatepass"), set(lines), []
     past_line = -1
