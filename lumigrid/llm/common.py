@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (tests on one machine) is a temporary folder used.
+    Where the setting is missing, a temporary folder is used on a local master (as in tests); a cluster needs the setting.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_lumigrid_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="lumigrid-")
@@ -58,11 +61,76 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """Session settings (``__`` stands for a dot) that are put back afterwards."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: computed once, survives lost executors."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame to the shared folder and read it back: computed once, survives lost executors.
+
+    What the write shuffled goes with it, as the written table stands in for it.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._lumigrid_path = path
+    return made
+
+
+def release(*stashed: DataFrame) -> None:
+    """Remove what ``stash`` wrote for frames that no plan reads any more."""
+    for df in stashed:
+        remove(df.sparkSession, df._lumigrid_path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: A key with more than one in so many of the rows is joined by broadcast: there are fewer such keys than this.
+HOT = 1000
+_LEAST = 100
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``rows`` JOIN ``table``, which has one row for each key, however unevenly ``rows`` are spread over the keys.
+
+    ``count`` is a column of ``table``: how many of ``rows`` have the key. Keys with over 1/HOT of all (at most HOT keys)
+    are broadcast, so that their rows stay where they are; the others meet by a shuffle. ``table`` and ``rows`` are read twice.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(total // HOT, _LEAST)
+    few = table.where(hot)
+    if few.isEmpty():
+        return rows.join(table, on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(table.where(~hot), on)
+    return rows.join(F.broadcast(few), on).unionByName(rest)
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text: rows of one doc_id are told apart by ``h``, a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import release, small_batches, stash
 
 #: 16 bytes an edge: 32 MB.
 ONE_TASK = 2_000_000
@@ -51,8 +51,11 @@ def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) ->
                 for k in range(0, len(nodes), 50_000):
                     yield pd.DataFrame({"node": nodes[k : k + 50_000], "component": low[k : k + 50_000]})
 
-        return stash(now.repartition(1).mapInPandas(solve, "node long, component long"), "components")
-    return _by_stars(now.distinct(), rounds)
+        made = stash(now.repartition(1).mapInPandas(solve, "node long, component long"), "components")
+    else:
+        made = stash(_by_stars(now.distinct(), rounds), "components")
+    release(now)
+    return made
 
 
 def _by_stars(now: DataFrame, rounds: int) -> DataFrame:
@@ -64,7 +67,9 @@ def _by_stars(now: DataFrame, rounds: int) -> DataFrame:
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         joined = star.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if hasattr(before, "_lumigrid_path"):
+            release(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen:
             break

@@ -5,19 +5,22 @@ equal sets of five-word shingles are one class. Each class gets banded minima, t
 that a pair at the threshold collides with probability ``RECALL``; classes that collide in a band are
 linked to the smallest of the band, components of those links are candidate groups, and inside a
 group all pairs are verified by exact Jaccard similarity, in tiles. Components of the verified links
-are clusters: the first occurrence of each, by (doc_id, line), stays, and the others are cut out.
+are clusters: the first occurrence of each, by (doc_id, text hash, line), stays, and the others are cut out.
 
 The second are all windows of ``RUN`` successive words of the text without those lines, whatever its line ends. Of equal
-windows the first, by (doc_id, word), stays, and the words of the others are cut; a later window that overlaps the
+windows the first, by (doc_id, text hash, word), stays, and the words of the others are cut; a later window that overlaps the
 first one in its own document stays too. So each run of over 50 words that repeats word for word is cut (not one that arises
 only where a cut line stood between its words, and near copies of less than a line stay). A window's key is the
 smallest hash of the ``GRAM``-word runs in it, equal for equal windows and for most neighbours; only windows whose key occurs in
 several places are hashed and compared.
 
+A line or window that a third of all texts hold is one row of narrow tables, and joins by such keys are by ``hot_join``.
+
 Defined results: null texts stay null and empty texts stay empty. Lines that are left keep their order and their
-newlines; a line that loses all its words goes. A repeat inside one document is cut out too. Rows with a null doc_id or with a doc_id that
-occurs before keep their text: no line of theirs can be named. An empty table gives an empty result.
-Other columns pass through.
+newlines; a line that loses all its words goes. A repeat inside one document is cut out too. Rows are told apart by doc_id and text:
+several texts of one doc_id are documents of their own; rows that repeat both are one, and each loses what that one loses. Rows with a
+null doc_id keep their text. Very long texts are taken whole, one batch of bounded bytes at a time. An empty table gives an empty
+result. Other columns pass through, whatever their names; a column named like an added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import small_batches, stash, table
+from .common import hot_join, keyed_texts, release, small_batches, stash, table, unused
 from .components import components
-from .setsim import TILE, tiled, verified
+from .setsim import TILE, as_sets, tiled, verified
 
 #: Planted and natural repeats of over 50 words are meant; near copies may lose some of them.
 MIN_WORDS = 40
@@ -54,13 +57,13 @@ def tuned_bands(threshold: float = 0.8, recall: float = RECALL, most: int = MAX_
 
 
 def paragraphs(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line, id (digest of the shingle set), bands (array of band keys) of the long lines."""
+    """doc_id, h, line, id (digest of the shingle set), bands (array of band keys) of the long lines of ``docs`` (doc_id, h, text)."""
     bands, rows = tuned_bands(threshold)
 
     def run(frames):
         for frame in frames:
             lines, doc, at = [], [], []
-            for i, text in zip(frame["doc_id"], frame["text"]):
+            for i, text in enumerate(frame["text"]):
                 for k, line in enumerate(text.split("\n")):
                     if len(line) > 2 * min_words - 2:
                         lines.append(line)
@@ -77,53 +80,52 @@ def paragraphs(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_word
             long = np.flatnonzero(np.diff(begin) >= min_words)
             if not len(long):
                 continue
+            doc = np.array(doc)[long]
             yield pd.DataFrame(
                 {
-                    "doc_id": [doc[u] for u in long],
-                    "line": [at[u] for u in long],
-                    "id": [hashing.set_digest(np.unique(values[places[u] : places[u + 1]])) for u in long],
+                    "doc_id": frame["doc_id"].to_numpy()[doc],
+                    "h": frame["h"].to_numpy()[doc],
+                    "line": np.array(at, np.int32)[long],
+                    "id": np.array([hashing.set_digest(np.unique(values[places[u] : places[u + 1]])) for u in long], np.int64),
                     "bands": [keys[u] for u in long],
                 }
-            ).astype({"doc_id": "int64", "line": "int32", "id": "int64"})
+            )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(run, "doc_id long, line int, id long, bands array<long>")
+    return docs.mapInPandas(run, "doc_id long, h long, line int, id long, bands array<long>")
 
 
 def clusters(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line, cluster, first (struct of doc_id, line that stays) of all paragraphs in clusters of two or more."""
+    """doc_id, h, line, cluster, first (struct of doc_id, h, line that stays) of all paragraphs in clusters of two or more."""
     small_batches(docs.sparkSession)
     found = stash(paragraphs(docs, threshold, width, min_words), "paragraphs")
-    place = F.struct("doc_id", "line")
     classes = stash(
-        found.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands")), "classes"
+        found.groupBy("id").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands")), "classes"
     )
     banded = classes.select("id", F.explode("bands").alias("key"))
-    low = banded.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = components(banded.join(low, "key").where("id <> low").selectExpr("id AS a", "low AS b"))
-    chosen = groups.join(classes.select(F.col("id").alias("node"), "first"), "node").select("node", "component", "first.doc_id", "first.line")
-    texts = chosen.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id").select(
+    low = stash(banded.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"), "bands")
+    groups = components(hot_join(banded, low, ["key"], "n").where("id <> low").selectExpr("id AS a", "low AS b"))
+    chosen = groups.join(classes.select(F.col("id").alias("node"), "first"), "node").select("node", "component", "first.*")
+    texts = chosen.join(docs, ["doc_id", "h"]).select(
         F.col("component").alias("grp"), F.col("node").alias("id"), F.lit(1).alias("weight"), F.get(F.split("text", "\n"), F.col("line")).alias("text")
     )
-    rows = tiled(texts, "grp", "id", TILE)
-    linked = stash(verified(rows, lambda f: hashing.text_sets(f["text"].tolist(), width), threshold), "links")
+    sets = stash(as_sets(texts, width), "sets")
+    linked = stash(verified(tiled(sets, "grp", "id", TILE), threshold), "links")
     joined = components(linked.selectExpr("id AS a", "root AS b"))
-    named = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", "first", "weight", F.coalesce("component", "id").alias("cluster")
-    )
+    named = classes.select("id", "first", "weight").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("id", "first", "weight", F.coalesce("component", "id").alias("cluster"))
     several = named.groupBy("cluster").agg(F.min("first").alias("first"), F.sum("weight").alias("n")).where("n > 1").drop("n")
-    named = named.select("id", "cluster").join(several, "cluster")
-    return found.select("doc_id", "line", "id").join(named, "id").select("doc_id", "line", "cluster", "first")
+    named = stash(named.select("id", "weight", "cluster").join(several, "cluster"), "clusters")
+    made = stash(hot_join(found.select("doc_id", "h", "line", "id"), named, ["id"], "weight").select("doc_id", "h", "line", "cluster", "first"), "clusters")
+    release(found, classes, low, groups, sets, linked, joined, named)
+    return made
 
 
 def repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, at (first word), source (doc_id of the window that stays) of the windows to cut.
+    """doc_id, h, at (first word), source (doc_id of the window that stays) of the windows to cut.
 
-    ``lines``: doc_id, removed_lines; no window that touches one of these takes part.
+    ``lines``: doc_id, h, removed_lines; no window that touches one of these takes part.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def keyed(frames):
         for frame in frames:
@@ -134,36 +136,41 @@ def repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
             doc = np.searchsorted(begin, at, side="right") - 1
             first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]))
             n = np.diff(np.append(first, len(at)))
+            doc, at = doc[first], at[first]
             yield pd.DataFrame(
-                {"doc_id": frame["doc_id"].to_numpy()[doc[first]], "at": (at - begin[doc])[first].astype(np.int32), "n": n.astype(np.int32), "key": keys[first].view(np.int64)}
-            )
+                {
+                    "doc_id": frame["doc_id"].to_numpy()[doc], "h": frame["h"].to_numpy()[doc],
+                    "at": (at - begin[doc]).astype(np.int32), "n": n.astype(np.int32), "key": keys[first].view(np.int64),
+                }
+            )
 
-    keys = stash(source.mapInPandas(keyed, "doc_id long, at int, n int, key long"), "keys")
+    keys = stash(docs.mapInPandas(keyed, "doc_id long, h long, at int, n int, key long"), "keys")
     # One place of a key holds two windows apart from each other only if it is a long run, as of one word.
-    several = keys.groupBy("key").agg(F.count("*").alias("places"), F.max("n").alias("n")).where(f"places > 1 OR n > {RUN}").select("key")
-    spots = keys.join(several, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
-    spots = spots.join(lines, "doc_id", "left")
+    several = stash(keys.groupBy("key").agg(F.count("*").alias("places"), F.max("n").alias("most")).where(f"places > 1 OR most > {RUN}").drop("most"), "several")
+    spots = hot_join(keys, several, ["key"], "places").groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "n")).alias("spots"))
+    spots = spots.join(lines, ["doc_id", "h"], "left")
 
     def hashed(frames):
         for frame in frames:
             words, begin = hashing.unit_words(frame["text"].tolist())
             hashes = hashing.runs(words, RUN)
-            for k, (doc, text, spot, gone) in enumerate(zip(frame["doc_id"], frame["text"], frame["spots"], frame["removed_lines"])):
-                last = begin[k + 1] - begin[k] - RUN
+            for k, (doc, h, text, spot, gone) in enumerate(zip(frame["doc_id"], frame["h"], frame["text"], frame["spots"], frame["removed_lines"])):
                 at = np.unique(np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in spot]))
-                at = at[at <= last]  # of a row whose doc_id stands for several texts
                 if gone is not None and len(gone):
                     line = word_lines(text)[2]
                     held = np.concatenate([[0], np.cumsum(np.isin(line, gone))])
                     at = at[held[at + RUN] == held[at]]
                 if len(at):
-                    yield pd.DataFrame({"doc_id": doc, "at": at.astype(np.int32), "window": hashes[begin[k] + at].view(np.int64)})
+                    yield pd.DataFrame({"doc_id": doc, "h": h, "at": at.astype(np.int32), "window": hashes[begin[k] + at].view(np.int64)})
 
-    rows = source.join(spots, "doc_id").select("doc_id", "text", "spots", "removed_lines")
-    rows = stash(rows.mapInPandas(hashed, "doc_id long, at int, window long"), "windows")
-    first = rows.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
-    cut = rows.join(first, "window").where(f"doc_id <> first.doc_id OR at >= first.at + {RUN}")
-    return cut.select("doc_id", "at", F.col("first.doc_id").alias("source"))
+    rows = docs.join(spots, ["doc_id", "h"]).select("doc_id", "h", "text", "spots", "removed_lines")
+    rows = stash(rows.mapInPandas(hashed, "doc_id long, h long, at int, window long"), "windows")
+    first = rows.groupBy("window").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count("*").alias("places")).where("places > 1")
+    first = stash(first, "first")
+    cut = hot_join(rows, first, ["window"], "places").where(f"doc_id <> first.doc_id OR h <> first.h OR at >= first.at + {RUN}")
+    cut = stash(cut.select("doc_id", "h", "at", F.col("first.doc_id").alias("source")), "cut")
+    release(keys, several, rows, first)
+    return cut
 
 
 def word_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +189,6 @@ def without(text: str, lines, at) -> str:
     start, end, line = word_lines(text)
     edge = np.zeros(len(start) + 1, np.int64)
     at = np.asarray(at, np.int64)
-    at = at[at <= len(start) - RUN]  # of a row whose doc_id stands for several texts
     np.add.at(edge, at, 1)
     np.add.at(edge, at + RUN, -1)
     cut = np.cumsum(edge)[:-1] > 0
@@ -204,36 +210,50 @@ def without(text: str, lines, at) -> str:
     return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
+ADDED = ("removed_lines", "removed_windows", "repeats_of")
+
+
 def dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without what repeats an earlier paragraph or run of words; other columns as they were.
 
     Added: ``removed_lines`` (array of int), ``removed_windows`` (array of int: first words of the windows cut
-    besides), ``repeats_of`` (array of doc_id whose text stays for one of these) and ``class_id`` (smallest doc_id among
-    itself and those).
+    besides) and ``repeats_of`` (array of doc_id whose text stays for one of these).
     """
-    cut = clusters(docs, threshold, width, min_words).where("struct(doc_id, line) <> first")
-    lines = stash(cut.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"), F.collect_set("first.doc_id").alias("sources")), "cuts")
-    windows = repeats(docs, lines.drop("sources"))
-    windows = windows.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("removed_windows"), F.collect_set("source").alias("more"))
+    texts = keyed_texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = clusters(texts, threshold, width, min_words)
+    cut = found.where("struct(doc_id, h, line) <> first").groupBy("doc_id", "h")
+    lines = stash(cut.agg(F.sort_array(F.collect_set("line")).alias("removed_lines"), F.collect_set("first.doc_id").alias("sources")), "cuts")
+    release(found)
+    windows = repeats(texts, lines.drop("sources"))
+    per_doc = windows.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("at")).alias("removed_windows"), F.collect_set("source").alias("more"))
+    own = dict(zip(("doc_id", "h", *ADDED), unused(docs, "own_doc", "own_hash", "own_lines", "own_windows", "own_sources")))
     ids, ints = F.array().cast("array<long>"), F.array().cast("array<int>")
-    per_doc = lines.join(windows, "doc_id", "full").select(
-        F.col("doc_id").alias("_doc"),
-        F.coalesce("removed_lines", ints).alias("removed_lines"),
-        F.coalesce("removed_windows", ints).alias("removed_windows"),
-        F.array_sort(F.array_union(F.coalesce("sources", ids), F.coalesce("more", ids))).alias("repeats_of"),
+    per_doc = stash(
+        lines.join(per_doc, ["doc_id", "h"], "full").select(
+            F.col("doc_id").alias(own["doc_id"]),
+            F.col("h").alias(own["h"]),
+            F.coalesce("removed_lines", ints).alias(own["removed_lines"]),
+            F.coalesce("removed_windows", ints).alias(own["removed_windows"]),
+            F.array_sort(F.array_union(F.coalesce("sources", ids), F.coalesce("more", ids))).alias(own["repeats_of"]),
+        ),
+        "changes",
     )
-    out = docs.join(per_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    release(lines, windows)
+    same = (F.col("doc_id").cast("long") == F.col(own["doc_id"])) & (F.xxhash64(F.col("text").cast("string")) == F.col(own["h"]))
+    out = docs.join(per_doc, same, "left")
 
     @F.pandas_udf("string")
     def left(text: pd.Series, lines: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or k is None or not len(k) + len(w) else without(t, k, w) for t, k, w in zip(text, lines, at)], dtype=object)
+        return pd.Series([without(t, k, w) for t, k, w in zip(text, lines, at)], dtype=object)
 
+    lines, windows = F.col(own["removed_lines"]), F.col(own["removed_windows"])
+    text = F.col("text").cast("string")
+    # An if in SQL would still send each row through Python; rows without cuts go with an empty text and take the old one back.
+    changed = F.col(own["doc_id"]).isNotNull()
+    text = F.when(changed, left(F.when(changed, text).otherwise(""), F.coalesce(lines, ints), F.coalesce(windows, ints))).otherwise(text)
     return out.select(
-        *[left(F.col("text").cast("string"), "removed_lines", "removed_windows").alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce("removed_lines", ints).alias("removed_lines"),
-        F.coalesce("removed_windows", ints).alias("removed_windows"),
-        F.coalesce("repeats_of", ids).alias("repeats_of"),
-        F.least(F.col("doc_id").cast("long"), F.coalesce(F.array_min("repeats_of"), F.col("doc_id").cast("long"))).alias("class_id"),
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ADDED],
+        *[F.coalesce(own[c], ids if c == "repeats_of" else ints).alias(c) for c in ADDED],
     )
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, table
+from .common import keyed_texts, release, small_batches, stash, table, unused
 
 FEATURES = 192
 WIDTH = 4.0  # of the kernel, in standard deviations of the statistics
@@ -119,14 +119,13 @@ class Model:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each row's text."""
+    """doc_id, h and the statistics of each row's text."""
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "x": [statistics(t) for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "h": frame["h"], "x": [statistics(t) for t in frame["text"]]})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, x array<double>")
+    return keyed_texts(docs).mapInPandas(run, "doc_id long, h long, x array<double>")
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -189,30 +188,36 @@ def fit(train: DataFrame, features: int = FEATURES) -> Model:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``docs``."""
+def scored(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> DataFrame:
+    """doc_id, h (hash of the text), held_out, score, predicted of each row of ``docs``."""
     small_batches(docs.sparkSession)
     found = stash(measured(docs), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q")).where("doc_id IS NOT NULL AND q IS NOT NULL")
     known = known.groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("double").alias("y"))
-    model = fit(found.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select("x", "y"), features)
+    train = stash(found.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select("x", "y"), "train")
+    model = fit(train, features)
+    release(train)
 
     def run(frames):
         for frame in frames:
             if len(frame):
-                yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": model.score(np.stack(frame["x"].to_numpy()))})
+                made = model.score(np.stack(frame["x"].to_numpy()))
+                yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "h": frame["h"], "score": made})
 
-    out = found.mapInPandas(run, "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = found.mapInPandas(run, "doc_id long, h long, score double")
+    return out.select("doc_id", "h", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be bad, with their columns as they were.
+def score(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of ``docs``."""
+    return scored(docs, labels, features).drop("h")
+
 
-    Rows are told apart by doc_id: of a doc_id with several texts all rows stay if one is good.
-    """
-    bad = score(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be bad, with their columns as they were."""
+    doc, h = unused(docs, "own_doc", "own_hash")
+    bad = scored(docs, labels).where("predicted = 0").select(F.col("doc_id").alias(doc), F.col("h").alias(h)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h)), "left_anti")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ their sketches; in a larger one all sets are compared with a pivot, those so nea
 all their neighbours must be candidates of the pivot too leave, and the rest is split again. Runs
 repeat until a pair at the threshold is found with probability ``RECALL`` at the greatest number of splits. Candidates (estimates of
 at least ``threshold - SLACK``) are joined to groups by components; inside a group all pairs are
-compared exactly, in tiles, and only link counts and spanning links leave a task.
+compared exactly, in tiles, and only link counts and spanning links leave a task. Joins by a bucket, a pivot or a class are by
+``hot_join``, as a bucket or a class may hold a third of all rows.
 
 Defined results: null and empty texts, and texts without words, have no set and link with nothing.
-Rows that repeat a doc_id or a text count as further copies. A null doc_id is kept and links with
-nothing. An empty table gives an empty result. Other columns are ignored.
+Rows that repeat a doc_id or a text count as further copies; of a class one row is kept, the first by (doc_id, text hash), and with
+it those that repeat both. A null doc_id is kept and links with nothing. Very long texts are taken whole. Of equal similarities
+none is preferred: all at the threshold link. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,19 +29,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import each_group, small_batches, stash, table
+from .common import each_group, hot_join, keyed_texts, release, small_batches, stash, table, unused
 from .components import components
-from .setsim import TILE, forest, tiled, verified
+from .setsim import TILE, as_sets, forest, tiled, verified
 
 POSITIONS = 64
 LEAF = 64
 RECALL = 0.999
-SLACK = 0.35
+#: Allowed to the estimate of a pair at the threshold: five standard deviations of 64 positions.
+SLACK = 0.25
 #: Splits of a large bucket; what is left of it then is compared in tiles.
 DEPTH = 6
-#: Sets whose estimate with a pivot is at least LEAVE leave the bucket; all from LINK on are its candidates.
-#: A neighbour (0.8) of one that leaves has at least 0.4 with the pivot; the rest allows for the estimate.
-LEAVE, LINK = 0.6, 0.3
+#: Sets whose estimate with a pivot is at least LEAVE leave the bucket; all from LINK on are its candidates. Estimates are shares of
+#: equal positions, so one of at least 0.6 with a set that leaves has at least 0.7 + 0.6 - 1 = LINK with the pivot.
+LEAVE, LINK = 0.7, 0.3
 
 
 def run_recall(threshold: float, splits: int = DEPTH + 1) -> float:
@@ -57,7 +60,7 @@ def runs_for(threshold: float, recall: float = RECALL) -> int:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, digest (null without words), size, sketch (array of 64 int)."""
+    """doc_id, h, digest (null without words), size, sketch (array of 64 int)."""
 
     def run(frames):
         for frame in frames:
@@ -67,16 +70,15 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             sets = [np.unique(values[a:b]) for a, b in zip(begin[:-1], begin[1:])]
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"],
+                    "doc_id": frame["doc_id"].astype("Int64"),
+                    "h": frame["h"],
                     "digest": pd.array([hashing.set_digest(s) if len(s) else None for s in sets], dtype="Int64"),
                     "size": [len(s) for s in sets],
                     "sketch": list(low),
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, digest long, size long, sketch array<int>"
-    )
+    return keyed_texts(docs).mapInPandas(run, "doc_id long, h long, digest long, size long, sketch array<int>")
 
 
 def _sampled(key: Column) -> list[Column]:
@@ -113,19 +115,22 @@ def candidates(classes: DataFrame, threshold: float = 0.8, recall: float = RECAL
     least = max(0.0, threshold - SLACK)
     roots = F.array(*[F.lit(r).cast("long") for r in range(runs_for(threshold, recall))])
     level = classes.select("id", F.explode(F.flatten(F.transform(roots, _children))).alias("key"))
-    found = []
+    found, used = [], []
     for depth in range(DEPTH):
         size = level.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("pivot"))
-        size = size.where("n > 1")
-        level = level.join(size, "key")
+        size = stash(size.where("n > 1"), "sizes")
+        level = hot_join(level, size, ["key"], "n")
         level = stash(level if "sketch" in level.columns else level.join(classes, "id"), "paths")
-        found.append(_leaf_links(level.where(F.col("n") <= leaf).select("key", "id", "sketch"), least))
+        used += [size, level]
+        found.append(stash(_leaf_links(level.where(F.col("n") <= leaf).select("key", "id", "sketch"), least), "pairs"))
         large = level.where(F.col("n") > leaf)
         if large.isEmpty():
             break
-        pivot = large.where("id = pivot").select("key", F.col("sketch").alias("mark")).dropDuplicates(["key"])
+        pivot = large.where("id = pivot").select("key", F.col("sketch").alias("mark"), F.col("n").alias("held")).dropDuplicates(["key"])
+        pivot = stash(pivot, "pivots")
         same = F.aggregate(F.zip_with("sketch", "mark", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-        large = stash(large.join(pivot, "key").withColumn("same", same).drop("mark"), "paths")
+        large = stash(hot_join(large, pivot, ["key"], "held").withColumn("same", same).drop("mark", "held"), "paths")
+        used += [pivot, large]
         found.append(large.where((F.col("same") >= LINK * POSITIONS) & (F.col("id") != F.col("pivot"))).selectExpr("id AS a", "pivot AS b"))
         rest = large.where(F.col("same") < LEAVE * POSITIONS)
         level = rest.select("id", "sketch", F.explode(_children(F.col("key"))).alias("key"))
@@ -136,41 +141,67 @@ def candidates(classes: DataFrame, threshold: float = 0.8, recall: float = RECAL
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    return links.distinct()
+    made = stash(links.distinct(), "candidates")
+    release(*used, *[f for f in found if hasattr(f, "_lumigrid_path")])
+    return made
 
 
-def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = RECALL) -> DataFrame:
-    """doc_id, n_links (other documents at or above the threshold), class_id (smallest doc_id that
-    links reach) and kept (doc_id = class_id, once for each doc_id)."""
+def decided(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = RECALL) -> DataFrame:
+    """doc_id, h (hash of the text), n_links, class_id and kept of each row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     base = stash(sketches(docs, width), "sketches")
     real = base.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"))
+    classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"))
     classes = stash(classes.withColumnRenamed("digest", "id"), "classes")
-    groups = components(candidates(classes.select("id", "sketch"), threshold, recall))
-    members = groups.join(classes.select(F.col("id").alias("node"), "first", "weight"), "node")
+    loose = candidates(classes.select("id", "sketch"), threshold, recall)
+    groups = components(loose)
+    members = groups.join(classes.select(F.col("id").alias("node"), "first", "weight"), "node").select("node", "component", "weight", "first.*")
     # The text of one document stands for each class that has candidates.
-    texts = members.join(docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").alias("text")), "first")
-    rows = tiled(texts.select(F.col("component").alias("grp"), F.col("node").alias("id"), "weight", "text"), "grp", "id", TILE)
-    found = stash(verified(rows, lambda f: hashing.text_sets(f["text"].tolist(), width), threshold), "links")
+    texts = members.join(keyed_texts(docs), ["doc_id", "h"]).select(F.col("component").alias("grp"), F.col("node").alias("id"), "weight", "text")
+    sets = stash(as_sets(texts, width), "sets")
+    found = stash(verified(tiled(sets, "grp", "id", TILE), threshold), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("others"))
     joined = components(found.selectExpr("id AS a", "root AS b"))
     per_class = (
         classes.select("id", "first", "weight")
         .join(links, "id", "left")
         .join(joined.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", "first", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        .select("id", "first", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
-    low = per_class.groupBy("component").agg(F.min("first").alias("class_id"))
-    per_class = per_class.join(low, "component").select(F.col("id").alias("digest"), "n_links", "class_id")
-    out = base.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(per_class, "digest", "left")
-    return out.select(
-        "doc_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce(F.coalesce("class_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    low = per_class.groupBy("component").agg(F.min("first").alias("head"))
+    per_class = stash(per_class.join(low, "component").select(F.col("id").alias("digest"), "weight", "n_links", "head"), "decisions")
+    some = hot_join(base.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "h", "digest"), per_class, ["digest"], "weight").select(
+        "doc_id", "h", F.col("n_links").cast("long").alias("n_links"), F.col("head.doc_id").alias("class_id"), (F.struct("doc_id", "h") == F.col("head")).alias("kept")
     )
+    none = base.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "h", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    release(classes, loose, groups, sets, found, joined)
+    return some.unionByName(none)
+
+
+def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = RECALL) -> DataFrame:
+    """doc_id, n_links (other documents at or above the threshold), class_id (smallest doc_id that
+    links reach) and kept (the first of its class)."""
+    return decided(docs, threshold, width, recall).drop("h")
+
+
+def keep_first(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the first, by (doc_id, text hash), once; columns as they were.
+
+    Rows with a null doc_id and texts without words stay, those that repeat both doc_id and text too, if they have no words or no doc_id.
+    """
+    made = stash(decided(docs, threshold, width, recall), "decided")
+    doc, h = unused(docs, "own_doc", "own_hash")
+    mine = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
+    gone = made.where("NOT kept").select(F.col("doc_id").alias(doc), F.col("h").alias(h)).distinct()
+    left = docs.join(gone, mine, "left_anti")
+    again = made.where("kept AND n_links > 0").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    again = stash(again.select(F.col("doc_id").alias(doc), F.col("h").alias(h)), "again")
+    if again.isEmpty():
+        return left
+    keep = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    once = left.join(again, mine).groupBy(doc, h).agg(*keep).drop(doc, h)
+    return left.join(again, mine, "left_anti").unionByName(once)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_group
-from .hashing import set_digest
+from .common import each_group, hot_join, stash
+from .hashing import set_digest, text_sets
 
 #: Members of a tile. Two tiles meet in one task, so a task holds twice as many at once.
 TILE = 256
@@ -73,31 +73,43 @@ def tiled(members: DataFrame, group: str, id: str, tile: int = TILE) -> DataFram
     A group of up to ``tile`` members is one tile; a larger one is dealt by hash into tiles, and each
     member goes to all pairs with its own tile, marked in ``own``. Rows: size / tile for each member.
     """
-    count = members.groupBy(group).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    dealt = members.join(count, group).withColumn("own", F.pmod(F.xxhash64(id), F.col("tiles")).cast("int"))
+    count = members.groupBy(group).agg(F.count("*").alias("tile_rows"))
+    dealt = hot_join(members, stash(count, "tiles"), [group], "tile_rows")
+    dealt = dealt.withColumn("tiles", F.ceil(F.col("tile_rows") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64(id), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return dealt.select("*", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2")).drop("other", "tiles")
+    return dealt.select("*", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2")).drop("other", "tiles", "tile_rows")
 
 
-def verified(rows: DataFrame, sets_of, threshold: float) -> DataFrame:
+def as_sets(texts: DataFrame, width: int) -> DataFrame:
+    """The same rows with ``members``, the sorted shingle hashes of ``text``, instead of the text.
+
+    An id is the digest of its set; rows whose text has another digest are left out.
+    """
+    rest = [c for c in texts.columns if c != "text"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*rest).schema)
+
+    def run(frames):
+        for frame in frames:
+            sets = text_sets(frame["text"].tolist(), width)
+            right = np.array([set_digest(s) == i for s, i in zip(sets, frame["id"])], bool)
+            made = frame.loc[right, rest]
+            yield made.assign(members=[s.view(np.int64) for s, r in zip(sets, right) if r])
+
+    return texts.select(*rest, "text").mapInPandas(run, f"{kinds}, members array<long>")
+
+
+def verified(rows: DataFrame, threshold: float) -> DataFrame:
     """Links among the members of each group, without a row for each pair.
 
-    ``rows``: group, own, t1, t2, id, weight and the columns that ``sets_of(frame)`` turns into a list
-    of sorted arrays. Result rows: ``id``, ``root`` (a member it is connected with in this tile pair,
-    or itself) and ``links``, the summed weights of the members it is similar to. An id is the digest
-    of its set; rows whose set has another digest (an id of the source that stands for several texts)
-    and repeated rows are left out.
+    ``rows``: grp, own, t1, t2, id, weight, members (sorted hashes). Result rows: ``id``, ``root`` (a member it is connected with in
+    this tile pair, or itself) and ``links``, the summed weights of the members it is similar to. Repeated ids are left out.
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        sets = sets_of(frame)
-        right = np.array([set_digest(s) == i for s, i in zip(sets, frame["id"])])
-        right &= ~(frame["id"].where(right).duplicated() & right).to_numpy()
-        frame, sets = frame[right].reset_index(drop=True), [s for s, r in zip(sets, right) if r]
+        frame = frame.drop_duplicates("id").sort_values("id", kind="stable")
         if len(frame) < 2:
             return pd.DataFrame({"id": [], "root": [], "links": []}).astype("int64")
-        near = similar(sets, threshold)
+        near = similar([m.view(np.uint64) for m in frame["members"]], threshold)
         own = frame["own"].to_numpy()
         if frame["t1"].iloc[0] != frame["t2"].iloc[0]:
             near &= own[:, None] != own[None, :]
