@@ -144,6 +144,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that a range of rows is meant to hold.
+RANGE_BYTES = 64 << 20
+
+
+def range_count(spark: SparkSession, total: int | None) -> int:
+    """Ranges for so many bytes of text: their number grows with the data, so that a range does not."""
+    return max(shuffle_partitions(spark), -(-(total or 0) // RANGE_BYTES), 1)
+
+
+def places(spark: SparkSession, n: int) -> list[int]:
+    """For each partition, a number that ``repartition(n, column)`` sends there; a range then has a partition of its own."""
+    tried = spark.range(0, n * (8 + 2 * n.bit_length())).select(F.col("id").cast("int").alias("v"))
+    found = {r["p"]: r["v"] for r in tried.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).collect()}
+    return [found.get(p, p) for p in range(n)]
+
+
 def groups(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
     """Cut a stream of frames, sorted by ``key``, into one frame for each key."""
     held: list[pd.DataFrame] = []
