@@ -1,14 +1,15 @@
 """Packing along a space-filling curve.
 
 A document's hashed vector (runs of four bytes) is projected to four dimensions, each mapped to 8 bits, and turned into
-its Hilbert key; 21 bits of the doc_id's hash follow, so that equal documents, which have equal keys,
-can be dealt to several ranges. Ranges of about equal counts come from approximate quantiles of the
-keys. One exchange brings the token ids of a range together; sorted by key they are cut at each
+its Hilbert key; 21 bits of a hash of the row's place in its input partition follow, so that equal documents, which have equal keys,
+can be dealt to several ranges, also rows that repeat a doc_id or have none. Ranges of about equal counts come from approximate
+quantiles of the keys, lines between them if there are more; their number grows with the bytes of the texts. One exchange brings the token
+ids of a range together in a partition of its own; sorted by key they are cut at each
 multiple of the length, so neighbours on the curve share sequences and no token is padding. The rest
 of a range is cut into sequences whose lengths are powers of two, which need no padding either.
 
 Defined results: a null text is empty and has only the end id. Repeated rows are packed one by one. A
-null doc_id is kept. An empty table gives an empty result. Other columns are ignored.
+null doc_id is kept. Very long texts are encoded whole and cut freely. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import shuffle_partitions, small_batches, table
+from .common import places, range_count, small_batches, table
 
 LENGTH = 4096
 END = 2
 DIMENSIONS, BITS, SALT = 4, 8, 21
+#: Steps of the keys' distribution that the driver gets.
+QUANTILES = 1000
 _BUCKET_BITS = 10
 _BUCKETS = 1 << _BUCKET_BITS
 _GRAM = (hashing.stream(9, 4) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
@@ -85,16 +88,26 @@ def vectors(texts: list[str | None]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
-def keys(ids: pd.Series, texts: list[str | None]) -> np.ndarray:
-    """Sort keys: the Hilbert key, then bits of the doc_id's hash."""
+def keys(places: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    """Sort keys: the Hilbert key, then bits of the hash of each row's place."""
     turn = (hashing.stream(5, _BUCKETS * DIMENSIONS).reshape(_BUCKETS, DIMENSIONS) >> np.uint64(63)).astype(np.float64) * 2 - 1
     spread = vectors(texts) @ turn  # of variance 1 over random turns
     share = 1 / (1 + np.exp(-1.702 * spread))
     point = np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-    salt = hashing.mix(ids.fillna(0).to_numpy(np.int64).view(np.uint64) + np.uint64(17)) >> np.uint64(64 - SALT)
+    salt = hashing.mix(places) >> np.uint64(64 - SALT)
     return ((hilbert(point) << np.uint64(SALT)) | salt).astype(np.int64)
 
 
+def _placed(frames):
+    """Each frame with its rows' places: the partition's number and the position there, alike when a task runs again."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 40
+    for frame in frames:
+        yield frame, np.arange(at, at + len(frame), dtype=np.uint64)
+        at += len(frame)
+
+
 @functools.cache
 def _tokenizer(path: str):
     import os
@@ -248,33 +261,40 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         import public_tokenizers
 
         tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
-    ranges = ranges or shuffle_partitions(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def key_only(frames):
-        for frame in frames:
-            yield pd.DataFrame({"key": keys(frame["doc_id"], frame["text"].tolist())})
+        for frame, place in _placed(frames):
+            texts = frame["text"].tolist()
+            yield pd.DataFrame({"key": keys(place, texts), "size": [len(t or "") for t in texts]})
 
-    share = F.array(*[F.lit(k / ranges) for k in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))
-    found = source.mapInPandas(key_only, "key long").agg(F.percentile_approx("key", share, F.lit(max(10_000, 20 * ranges)))).first()[0]
-    edges = np.array(found or [], np.int64)
+    share = F.array(*[F.lit(k / QUANTILES) for k in range(QUANTILES + 1)])
+    found = source.mapInPandas(key_only, "key long, size long").agg(F.percentile_approx("key", share, F.lit(20 * QUANTILES)), F.sum("size")).first()
+    ranges = ranges or range_count(spark, found[1])
+    edges = np.interp(np.arange(1, ranges) / ranges, np.linspace(0, 1, QUANTILES + 1), found[0] or [0] * (QUANTILES + 1)).astype(np.int64)
+    place_of = np.array(places(spark, ranges), np.int32)
 
     def encode(frames):
         encoder = _encoder(tokenizer)
         gc.disable()  # nothing here makes cycles, and the caches are costly to traverse
-        for frame in frames:
-            texts = frame["text"].tolist()
-            key = keys(frame["doc_id"], texts)
-            last = np.array([end], encoder.kind).tobytes()
-            yield pd.DataFrame(
-                {
-                    "bucket": np.searchsorted(edges, key, side="right").astype(np.int32),
-                    "key": key,
-                    "doc_id": frame["doc_id"].astype("Int64"),
-                    "wide": encoder.kind.itemsize == 4,
-                    "ids": [x + last for x in encoder.ids(texts)],
-                }
-            )
+        try:
+            for frame, place in _placed(frames):
+                texts = frame["text"].tolist()
+                key = keys(place, texts)
+                last = np.array([end], encoder.kind).tobytes()
+                bucket = np.searchsorted(edges, key, side="right").astype(np.int32)
+                yield pd.DataFrame(
+                    {
+                        "place": place_of[bucket],
+                        "bucket": bucket,
+                        "key": key,
+                        "doc_id": frame["doc_id"].astype("Int64"),
+                        "wide": encoder.kind.itemsize == 4,
+                        "ids": [x + last for x in encoder.ids(texts)],
+                    }
+                )
+        finally:
+            gc.enable()
 
     def cut(frames):
         packer, bucket = None, None
@@ -299,9 +319,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
             packer.close()
             yield made(packer.out)
 
-    coded = source.mapInPandas(encode, "bucket int, key long, doc_id long, wide boolean, ids binary")
+    coded = source.mapInPandas(encode, "place int, bucket int, key long, doc_id long, wide boolean, ids binary")
     # Every field takes part in the order: a run after a lost executor cuts alike.
-    return coded.repartition(ranges, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "ids").mapInPandas(cut, _PIECE)
+    return coded.repartition(ranges, "place").sortWithinPartitions("bucket", "key", "doc_id", "ids").mapInPandas(cut, _PIECE)
 
 
 def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
