@@ -206,3 +206,17 @@ def keep_first(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: Words are runs of ASCII letters and digits and of code points from 128 on.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])) END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE k * 9 >= 4 * (x.n + y.n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT doc_id, coalesce(k.n, 0)::BIGINT AS n_links, c AS class_id, c = doc_id AS kept FROM documents LEFT JOIN k ON k.a = doc_id JOIN c ON c.a = doc_id
+"""

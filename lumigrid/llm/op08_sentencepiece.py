@@ -279,7 +279,7 @@ def _codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, text, ids (packed little-endian, two bytes each, four for over 65,536 pieces), decoded."""
+    """doc_id, text, ids (packed little-endian, two bytes each, four for over 65,536 pieces), n_tokens, decoded."""
     small_batches(docs.sparkSession, 500)
     if model is None:
         import public_tokenizers
@@ -288,20 +288,25 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(frames):
         codec = _codec(model)
+        width = codec.model.kind.itemsize
         gc.disable()  # nothing here makes cycles, and the cache is costly to traverse
-        for frame in frames:
-            ids = codec.encode(frame["text"].tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text": frame["text"], "ids": ids, "decoded": [codec.decode(x) for x in ids]})
+        try:
+            for frame in frames:
+                ids = codec.encode(frame["text"].tolist())
+                made = {"doc_id": frame["doc_id"].astype("Int64"), "text": frame["text"], "ids": ids, "n_tokens": [len(x) // width for x in ids]}
+                yield pd.DataFrame(made | {"decoded": [codec.decode(x) for x in ids]})
+        finally:
+            gc.enable()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, text string, ids binary, decoded string")
+    return source.mapInPandas(run, "doc_id long, text string, ids binary, n_tokens long, decoded string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, number and CRC of the ids, digest of the decoded text, and whether it is the text."""
     return encode(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        (F.octet_length("ids") / 2).cast("long").alias("n_tokens"),
+        "n_tokens",
         F.crc32("ids").alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

@@ -20,4 +20,10 @@ QUERIES = {
     "op10_hilbert_packing": op10_packing.op10_hilbert_packing,
 }
 
-ORACLES = {"op2_warc": op02_warc.OP2_SQL, "op9_interleave": op09_interleave.OP9_SQL}
+ORACLES = {
+    "op1_spotsigs": op01_spotsigs.OP1_SQL,
+    "op2_warc": op02_warc.OP2_SQL,
+    "op6_embedding_dedup": op06_embedding_dedup.OP6_SQL,
+    "op7_jaccard_join": op07_jaccard_join.OP7_SQL,
+    "op9_interleave": op09_interleave.OP9_SQL,
+}
