@@ -41,8 +41,9 @@ SLACK = 0.25
 #: Splits of a large bucket; what is left of it then is compared in tiles.
 DEPTH = 6
 #: Sets whose estimate with a pivot is at least LEAVE leave the bucket; all from LINK on are its candidates. Estimates are shares of
-#: equal positions, so one of at least 0.6 with a set that leaves has at least 0.7 + 0.6 - 1 = LINK with the pivot.
-LEAVE, LINK = 0.7, 0.3
+#: equal positions, so one of at least 0.65 (three standard deviations below 0.8) with a set that leaves has at least
+#: 0.6 + 0.65 - 1 = LINK with the pivot.
+LEAVE, LINK = 0.6, 0.25
 
 
 def run_recall(threshold: float, splits: int = DEPTH + 1) -> float:
@@ -117,10 +118,11 @@ def candidates(classes: DataFrame, threshold: float = 0.8, recall: float = RECAL
     level = classes.select("id", F.explode(F.flatten(F.transform(roots, _children))).alias("key"))
     found, used = [], []
     for depth in range(DEPTH):
+        level = stash(level, "level")
+        used.append(level)
         size = level.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("pivot"))
         size = stash(size.where("n > 1"), "sizes")
-        level = hot_join(level, size, ["key"], "n")
-        level = stash(level if "sketch" in level.columns else level.join(classes, "id"), "paths")
+        level = stash(hot_join(level, size, ["key"], "n").join(classes, "id"), "paths")
         used += [size, level]
         found.append(stash(_leaf_links(level.where(F.col("n") <= leaf).select("key", "id", "sketch"), least), "pairs"))
         large = level.where(F.col("n") > leaf)
@@ -133,9 +135,9 @@ def candidates(classes: DataFrame, threshold: float = 0.8, recall: float = RECAL
         used += [pivot, large]
         found.append(large.where((F.col("same") >= LINK * POSITIONS) & (F.col("id") != F.col("pivot"))).selectExpr("id AS a", "pivot AS b"))
         rest = large.where(F.col("same") < LEAVE * POSITIONS)
-        level = rest.select("id", "sketch", F.explode(_children(F.col("key"))).alias("key"))
+        level = rest.select("id", F.explode(_children(F.col("key"))).alias("key"))
     else:  # sets that no split tells apart: all pairs of tiles
-        n = tiled(level.select(F.col("key").alias("grp"), "id", "sketch"), "grp", "id")
+        n = tiled(stash(level.join(classes, "id").select(F.col("key").alias("grp"), "id", "sketch"), "rest"), "grp", "id")
         n = n.select(F.xxhash64("grp", "t1", "t2").alias("key"), "id", "sketch")
         found.append(_leaf_links(n, least))
     links = found[0]
