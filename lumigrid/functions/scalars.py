@@ -48,6 +48,24 @@ def cell(coordinate: Column, origin: float, size: float) -> Column:
     return F.round((coordinate - origin) / size).cast("int")
 
 
+def affine(transform, col, row):
+    """Map coordinates of grid coordinates, numbers or columns."""
+    a, b, c, d, e, f = transform
+    return c + col * a + row * b, f + col * d + row * e
+
+
+def affine_inverse(transform, x, y):
+    """Grid coordinates (col, row; 0 at the outer edge of the first cell) of map coordinates."""
+    a, b, c, d, e, f = transform
+    det = a * e - b * d
+    return ((x - c) * e - (y - f) * b) / det, ((y - f) * a - (x - c) * d) / det
+
+
+def index_window(low: Column, high: Column) -> tuple[Column, Column]:
+    """Whole numbers around a range of coordinates."""
+    return F.floor(low).cast("int"), F.ceil(high).cast("int")
+
+
 def brighten(value: Column, alpha: float = 0.13, beta: float = 0.0) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value * alpha + beta, F.lit(0.0)), F.lit(255.0)))
 
@@ -176,3 +194,29 @@ def geographic_of(east: Column, north: Column, zone: int, south: bool = False) -
     for j, d in enumerate(_DELTA, 1):
         phi = phi + F.sin(chi * 2 * j) * d
     return F.degrees(phi), F.degrees(F.atan2(F.sinh(x), F.cos(y))) + (6 * zone - 183)
+
+
+GEOGRAPHIC = 4326
+
+
+def utm_zone_epsg(lat, lon):
+    """EPSG code of the UTM zone of a place, numbers or columns."""
+    if isinstance(lat, Column) or isinstance(lon, Column):
+        return (F.lit(32601) + F.least(F.floor((lon + 180) / 6), F.lit(59)) + F.when(lat < 0, 100).otherwise(0)).cast("int")
+    return 32601 + min(int((lon + 180) // 6), 59) + (100 if lat < 0 else 0)
+
+
+def projected(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """Coordinates (x or longitude, y or latitude) in another reference system: geographic (4326) and UTM on WGS 84."""
+    for code in (source, target):
+        if code != GEOGRAPHIC and not (32601 <= code <= 32660 or 32701 <= code <= 32760):
+            raise ValueError(f"unknown reference system: {code}")
+    if source == target:
+        return x, y
+    if source != GEOGRAPHIC:
+        lat, lon = geographic_of(x, y, source % 100, source >= 32700)
+    else:
+        lat, lon = y, x
+    if target == GEOGRAPHIC:
+        return lon, lat
+    return utm_of(lat, lon, target % 100, target >= 32700)

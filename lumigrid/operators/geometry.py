@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 SMALL_EDGES = 10_000
 EDGES = "geom_id int, ring_id int, seq int, x1 double, y1 double, x2 double, y2 double"
 
@@ -37,6 +39,38 @@ def wkt_edges(texts: DataFrame) -> DataFrame:
     return e.where("x1 <> x2 OR y1 <> y2")
 
 
+def geojson_edges(texts: DataFrame) -> DataFrame:
+    """Edges of ``texts`` (geom_id, json: a Polygon or MultiPolygon geometry)."""
+    ring = F.regexp_extract_all(F.get_json_object("json", "$.coordinates"), F.lit(r"\[((?:\[[^\[\]]+\],?\s*)+)\]"), 1)
+    corner = lambda t: F.transform(F.slice(F.split(t, ","), 1, 2), lambda v: F.trim(v))
+    plain = lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"\[([^\[\]]+)\]"), 1), lambda t: F.array_join(corner(t), " ")), ", ")
+    return wkt_edges(texts.select("geom_id", F.concat(F.lit("("), F.array_join(F.transform(ring, plain), "), ("), F.lit(")")).alias("wkt")))
+
+
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of the polygons of a file: GeoJSON (``.json``, ``.geojson``) or a line of WKT for each."""
+    if path.endswith(("json",)):
+        text = spark.read.text(path, wholetext=True)
+        shapes = F.from_json(F.get_json_object("value", "$.features"), "array<struct<geometry:string>>")
+        several = text.select(F.posexplode(F.coalesce(shapes, F.array(F.struct(F.col("value").alias("geometry"))))).alias("geom_id", "f"))
+        return geojson_edges(several.select("geom_id", F.col("f.geometry").alias("json")))
+    return wkt_edges(spark.read.text(path).where("value LIKE '%(%'").select(F.hash("value").alias("geom_id"), F.col("value").alias("wkt")))
+
+
+def to_epsg(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """Edges in another reference system, corner by corner."""
+    (x1, y1), (x2, y2) = (scalars.projected(F.col(f"x{k}"), F.col(f"y{k}"), source, target) for k in (1, 2))
+    return edges.withColumns({"x1": x1, "y1": y1, "x2": x2, "y2": y2})
+
+
+def bounds(edges: DataFrame) -> tuple[float, float, float, float]:
+    """min x, min y, max x, max y of all edges; an error without any."""
+    found = edges.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2"))).first()
+    if found[0] is None:
+        raise ValueError("the polygons have no edges")
+    return tuple(found)
+
+
 def crosses(x: Column, y: Column) -> Column:
     """Whether the ray from a point to the right meets an edge."""
     spans = (F.col("y1") > y) != (F.col("y2") > y)
@@ -105,3 +139,37 @@ def scenes_for(scenes: DataFrame, area: tuple[float, float, float, float]) -> Da
     s = scenes.where(meets).withColumn("contains", holds)
     any_ = s.groupBy("date").agg(F.max("contains").alias("any"))
     return s.join(any_, "date").where("contains OR NOT any").drop("any")
+
+
+def scenes_exact(scenes: DataFrame, area: DataFrame) -> DataFrame:
+    """Scenes whose polygons hold the whole area; of a date without such, those that meet it: geom_id, date, contains.
+
+    ``scenes``: edges with geom_id and date; ``area``: edges. Bounding boxes come first; then corners are tested by rays and
+    edges for crossings, met through bands of y.
+    """
+    x0, y0, x1, y1 = bounds(area)
+    box = scenes.groupBy("geom_id", "date").agg(
+        F.min(F.least("x1", "x2")).alias("minx"), F.min(F.least("y1", "y2")).alias("miny"), F.max(F.greatest("x1", "x2")).alias("maxx"), F.max(F.greatest("y1", "y2")).alias("maxy")
+    )
+    near = box.where((F.col("minx") <= x1) & (F.col("maxx") >= x0) & (F.col("miny") <= y1) & (F.col("maxy") >= y0)).select("geom_id", "date")
+    edges = scenes.join(near.select("geom_id"), "geom_id")
+    corners = area.select(F.monotonically_increasing_id().alias("corner"), F.col("x1").alias("px"), F.col("y1").alias("py"))
+    held = inside(corners, edges, "corner").groupBy("geom_id").agg(F.count("*").alias("held"))
+    total = area.count()
+    theirs = edges.select(F.col("geom_id").alias("scene"), F.monotonically_increasing_id().alias("corner"), F.col("x1").alias("px"), F.col("y1").alias("py"))
+    within = inside(theirs, area.withColumn("geom_id", F.lit(0)), "corner").join(theirs.select("corner", "scene"), "corner").select(F.col("scene").alias("geom_id")).distinct()
+    height = max((y1 - y0) / 64, 1e-12)
+    bands = lambda a, b: F.explode(F.sequence(F.floor((F.greatest(F.least(a, b), F.lit(y0)) - y0) / height), F.floor((F.least(F.greatest(a, b), F.lit(y1)) - y0) / height)))
+    reach = edges.where((F.least("y1", "y2") <= y1) & (F.greatest("y1", "y2") >= y0)).withColumn("band", bands(F.col("y1"), F.col("y2")))
+    mine = area.select(*[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")]).withColumn("band", bands(F.col("ay1"), F.col("ay2")))
+
+    def side(px: str, py: str, qx: str, qy: str, rx: str, ry: str) -> Column:
+        return (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
+
+    met = (side("x1", "y1", "x2", "y2", "ax1", "ay1") * side("x1", "y1", "x2", "y2", "ax2", "ay2") < 0) & (side("ax1", "ay1", "ax2", "ay2", "x1", "y1") * side("ax1", "ay1", "ax2", "ay2", "x2", "y2") < 0)
+    cut = reach.join(mine, "band").where(met).select("geom_id").distinct().withColumn("cut", F.lit(True))
+    found = near.join(held, "geom_id", "left").join(cut, "geom_id", "left").join(within.withColumn("within", F.lit(True)), "geom_id", "left")
+    found = found.withColumn("contains", (F.coalesce("held", F.lit(0)) == total) & F.col("cut").isNull())
+    found = found.where("contains OR held > 0 OR cut OR within")
+    any_ = found.groupBy("date").agg(F.max("contains").alias("any"))
+    return found.join(any_, "date").where("contains OR NOT any").select("geom_id", "date", "contains")

@@ -6,6 +6,7 @@ is nodata. Nothing here collects pixels or loops over scenes.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,7 @@ OBS = (
     "cosine", "utc_time", "earth_sun_distance",
 )
 IGM = ("easting", "northing", "elevation")
+#: Datasets that have a spectrum for each pixel. Fixed values, as the layer names above.
 SPECTRAL = ("reflectance", "radiance", "rfl", "rdn")
 
 
@@ -67,6 +69,20 @@ def any_null(bands: Column) -> Column:
     return F.exists(bands, lambda v: v.isNull())
 
 
+def batches(pixels: DataFrame, order, rows: int | None = None, item: int = 4, features: int = 425) -> DataFrame:
+    """``batch``: which batch of so many rows, in order, a row belongs to; by default 1024**2 // item // features * 1000 rows.
+
+    Rows are numbered within partitions of the order's first column and offset by their counts, so no task gets all of them.
+    """
+    rows = rows or 1024**2 // item // features * 1000
+    first, *rest = order
+    count = pixels.groupBy(first).agg(F.count("*").alias("held"))
+    start = (F.sum("held").over(Window.orderBy(first)) - F.col("held")).alias("start")  # one row for each value of the first column
+    place = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) if rest else F.row_number().over(Window.partitionBy(first).orderBy(F.lit(0)))
+    numbered = pixels.withColumn("at", place).join(count.select(first, start), first)
+    return numbered.withColumn("batch", F.floor((F.col("start") + F.col("at") - 1) / rows).cast("long")).drop("at", "start")
+
+
 # -- subsets ---------------------------------------------------------------------------------------
 def window(pixels: DataFrame, y: tuple[int, int], x: tuple[int, int]) -> DataFrame:
     """Half-open index ranges."""
@@ -83,6 +99,15 @@ def latlon(pixels: DataFrame, lat: tuple[float, float], lon: tuple[float, float]
     return pixels.join(F.broadcast(box), fits[0] & fits[1]).select(*pixels.columns)
 
 
+def index_box(pixels: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> tuple[slice, slice]:
+    """Index ranges (y, x) of the pixels strictly inside the box, without the last row and column; an error if there are none."""
+    inside = (F.col("lat") > min(lat)) & (F.col("lat") < max(lat)) & (F.col("lon") > min(lon)) & (F.col("lon") < max(lon))
+    y0, y1, x0, x1 = pixels.where(inside).agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    if y0 is None:
+        raise ValueError("no pixel lies in the box")
+    return slice(y0, y1), slice(x0, x1)
+
+
 def bbox(points: DataFrame, bounds, x: str = "x", y: str = "y") -> DataFrame:
     """Points inside (min x, min y, max x, max y), ends included."""
     if len(bounds) != 4:
@@ -202,17 +227,18 @@ def reduced(values: DataFrame, factor: int, methods=tuple(REDUCERS), value: str
     return values.withColumns(block).groupBy(*key, "row", "col").agg(*[REDUCERS[m](F.col(value)).alias(m) for m in methods])
 
 
-def resampled(values: DataFrame, target: DataFrame, method: str = "nearest", value: str = "v", scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def resampled(values: DataFrame, target: DataFrame, method: str = "nearest", value: str = "v", scale: tuple[float, float] = (1.0, 1.0), key=()) -> DataFrame:
     """``target`` (row, col, at_row, at_col: position in the source grid, 0 at a cell's centre) with values.
 
     Nearest is one equi-join; an interpolation joins each cell's neighbours and renormalises the
     weights over those that are valid. A reducer takes the valid cells whose centres lie in the target cell,
     which is ``scale`` (rows, columns) source cells wide, its lower ends included; without such, the nearest.
-    The fan-out is fixed by the kernel or the scale.
+    The fan-out is fixed by the kernel or the scale; when a target cell is wider than a source cell, a kernel is stretched by
+    ``scale``. ``key`` names columns of ``values`` that are resampled apart, as ``band``.
     """
     if method not in RESAMPLING:
         raise ValueError(f"unknown resampling: {method}")
-    source = values.select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), value)
+    source = values.select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), *key, value)
     if method in REDUCERS:
 
         def centres(c: str, width: float) -> Column:
@@ -221,18 +247,23 @@ def resampled(values: DataFrame, target: DataFrame, method: str = "nearest", val
 
         fan = target.withColumn("near_row", centres("at_row", scale[0])).withColumn("near_col", centres("at_col", scale[1]))
         found = fan.join(source, ["near_row", "near_col"], "left")
-        return found.groupBy("row", "col").agg(REDUCERS[method](F.col(value)).alias(value))
+        return found.groupBy("row", "col", *key).agg(REDUCERS[method](F.col(value)).alias(value))
     if method not in KERNELS:
         near = {f"near_{c}": F.floor(F.col(f"at_{c}") + 0.5).cast("int") for c in ("row", "col")}
-        return target.withColumns(near).join(source, ["near_row", "near_col"], "left").select("row", "col", value)
-    half = KERNELS[method]
-    steps = lambda c: F.explode(F.sequence(F.floor(F.col(c)).cast("int") - half + 1, F.floor(F.col(c)).cast("int") + half))
-    fan = target.withColumn("near_row", steps("at_row")).withColumn("near_col", steps("at_col"))
-    fan = fan.withColumn("w", kernel(method, F.col("near_row") - F.col("at_row")) * kernel(method, F.col("near_col") - F.col("at_col")))
+        return target.withColumns(near).join(source, ["near_row", "near_col"], "left").select("row", "col", *key, value)
+    wide = [max(1.0, float(x)) for x in scale]
+
+    def steps(c: str, width: float) -> Column:
+        half = math.ceil(KERNELS[method] * width)
+        return F.explode(F.sequence(F.floor(F.col(c)).cast("int") - half + 1, F.floor(F.col(c)).cast("int") + half))
+
+    fan = target.withColumn("near_row", steps("at_row", wide[0])).withColumn("near_col", steps("at_col", wide[1]))
+    apart = [(F.col(f"near_{c}") - F.col(f"at_{c}")) / w for c, w in zip(("row", "col"), wide)]
+    fan = fan.withColumn("w", kernel(method, apart[0]) * kernel(method, apart[1]))
     found = fan.join(source, ["near_row", "near_col"], "left")
     weight = F.sum(F.when(F.col(value).isNotNull(), F.col("w")))
     total = F.sum(F.col("w") * F.col(value)) / F.when(F.abs(weight) > 1e-12, weight)
-    return found.groupBy("row", "col").agg(total.alias(value))
+    return found.groupBy("row", "col", *key).agg(total.alias(value))
 
 
 def needs_resampling(res_a: float, epsg_a: int, res_b: float, epsg_b: int) -> bool:

@@ -29,6 +29,19 @@ def between(lines: DataFrame, start: str, end: str) -> DataFrame:
     return lines.where(F.col("date").between(start, end))
 
 
+def between_or_fail(lines: DataFrame, start: str, end: str) -> DataFrame:
+    """The same; an error if there are none."""
+    found = between(lines, start, end)
+    if found.isEmpty():
+        raise ValueError("Invalid date range")
+    return found
+
+
+def all_equal(table: DataFrame, column: str) -> bool:
+    """Whether a column, such as the scenes' EPSG code, has at most one value."""
+    return table.agg(F.count_distinct(column)).first()[0] <= 1
+
+
 def paths(lines: DataFrame, root: str, datasets) -> DataFrame:
     """date, time, dataset, path of every dataset of every flight line, each once."""
     unknown = set(datasets) - set(DATASETS) - {"glt"}
@@ -43,10 +56,13 @@ def by_line(found: DataFrame) -> DataFrame:
     return found.groupBy("date", scalars.line_id(F.col("path")).alias("line")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path")).alias("paths"))
 
 
-def existing(found: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Paths that exist, and those that are missing; looked up on the driver, as the list is of scenes."""
-    spark = found.sparkSession
-    rows = [r["path"] for r in found.select("path").distinct().collect()]
-    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    missing = [p for p in rows if not path(p).getFileSystem(conf).exists(path(p))]
-    return found.where(~F.col("path").isin(missing)) if missing else found, missing
+def listed(spark, root: str) -> DataFrame:
+    """path of all files below a folder, by Spark's own listing: no file is opened, no list comes to the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+
+
+def existing(found: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose path exists below the root, and those that are missing, by a join with the listing."""
+    there = listed(found.sparkSession, root)
+    return found.join(there, "path", "left_semi"), found.join(there, "path", "left_anti")

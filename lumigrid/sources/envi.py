@@ -85,18 +85,32 @@ class Layout:
         n = self.samples * self.bands * self.size
         return self.offset + line * n, n
 
-    def decode(self, raw: bytes, lines: int) -> np.ndarray:
-        """(line, sample, band)"""
-        kind = np.dtype(self.order + TYPES[self.code][0])
-        shape = {"bil": (lines, self.bands, self.samples), "bip": (lines, self.samples, self.bands)}[self.interleave]
-        cube = np.frombuffer(raw, kind).reshape(shape)
-        return cube.transpose(0, 2, 1) if self.interleave == "bil" else cube
-
 
 def _open(path: str):
+    """File system and name of a path; Hadoop's names of object stores are taken for the stores' own."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    scheme, _, rest = path.partition("://")
+    if not rest:
+        return fs.FileSystem.from_uri("file://" + path)
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + rest)
+
+
+def read_layout(path: str, header: str | None = None) -> tuple[Layout, dict]:
+    """Layout and header fields of a binary."""
+    system, name = _open(header or header_of(path))
+    with system.open_input_stream(name) as f:
+        fields = parse_header(f.read().decode())
+    return Layout.of(fields), fields
+
+
+def header_of(path: str) -> str:
+    return re.sub(r"\.(bin|img|dat)$", "", path) + ".hdr"
+
+
+def _range(text: str | None, n: int) -> tuple[int, int]:
+    low, _, high = (text or ":").partition(":")
+    return max(int(low or 0), 0), min(int(high or n), n)
 
 
 class _Lines(InputPartition):
@@ -105,63 +119,80 @@ class _Lines(InputPartition):
 
 
 class EnviReader(DataSourceReader):
+    """Reads byte ranges of the lines, bands and samples asked for, nothing between them."""
+
     def __init__(self, options: dict, schema):
-        self.options, self.schema = options, schema
         self.path = options["path"]
         self.block = int(options.get("lines", 100))
-        self.keep = options.get("bands")
-        system, name = _open(options.get("header", re.sub(r"\.(bin|img|dat)$", "", self.path) + ".hdr"))
-        with system.open_input_stream(name) as f:
-            self.layout = Layout.of(parse_header(f.read().decode()))
+        lay = self.layout = read_layout(self.path, options.get("header"))[0]
+        keep = options.get("bands")
+        self.keep = [int(b) for b in keep.split(",")] if keep else list(range(lay.bands))
+        self.y, self.x = _range(options.get("y"), lay.lines), _range(options.get("x"), lay.samples)
 
     def partitions(self):
-        y0, y1 = (int(v) for v in self.options.get("y", f"0:{self.layout.lines}").split(":"))
-        y1 = min(y1, self.layout.lines)
-        if self.layout.interleave == "bsq":
-            return [_Lines(y, min(y + self.block, y1)) for y in range(y0, y1, self.block)]
-        return [_Lines(y, min(y + self.block, y1)) for y in range(y0, y1, self.block)]
+        return [_Lines(y, min(y + self.block, self.y[1])) for y in range(self.y[0], self.y[1], self.block)] or [_Lines(0, 0)]
+
+    def _line(self, f, line: int) -> np.ndarray:
+        """(sample, band) of one line."""
+        lay, (x0, x1) = self.layout, self.x
+        kind = np.dtype(lay.order + TYPES[lay.code][0])
+
+        def values(first: int, n: int) -> np.ndarray:
+            f.seek(lay.offset + first * lay.size)
+            return np.frombuffer(f.read(n * lay.size), kind)
+
+        if lay.interleave == "bip":
+            return values((line * lay.samples + x0) * lay.bands, (x1 - x0) * lay.bands).reshape(x1 - x0, lay.bands)[:, self.keep]
+        start = (lambda b: (line * lay.bands + b) * lay.samples) if lay.interleave == "bil" else (lambda b: (b * lay.lines + line) * lay.samples)
+        if lay.interleave == "bil" and (x0, x1) == (0, lay.samples):  # neighbouring bands in one read
+            parts, k = [], 0
+            while k < len(self.keep):
+                n = 1
+                while k + n < len(self.keep) and self.keep[k + n] == self.keep[k] + n:
+                    n += 1
+                parts.append(values(start(self.keep[k]), n * lay.samples).reshape(n, lay.samples))
+                k += n
+            return np.concatenate(parts).T
+        return np.stack([values(start(b) + x0, x1 - x0) for b in self.keep], axis=1)
+
+    def _values(self, flat: np.ndarray):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def _cube(self, f, p) -> np.ndarray:
         lay = self.layout
-        if lay.interleave != "bsq":
-            start, n = lay.line_range(p.start)
-            f.seek(start)
-            return lay.decode(f.read(n * (p.stop - p.start)), p.stop - p.start)
-        kind, line = np.dtype(lay.order + TYPES[lay.code][0]), lay.samples * lay.size
-        parts = []
-        for b in range(lay.bands):
-            f.seek(lay.offset + (b * lay.lines + p.start) * line)
-            parts.append(np.frombuffer(f.read((p.stop - p.start) * line), kind).reshape(p.stop - p.start, lay.samples))
-        return np.stack(parts, axis=2)
+        flat = flat.astype(flat.dtype.newbyteorder("="))
+        if flat.dtype.kind == "c":
+            null = np.isnan(flat)
+            return pa.StructArray.from_arrays([pa.array(flat.real.astype(float)), pa.array(flat.imag.astype(float))], ["re", "im"], mask=pa.array(null))
+        if flat.dtype.kind == "f":
+            null = np.isnan(flat)
+            if lay.nodata is not None:
+                null |= np.abs(flat - lay.nodata) <= 1e-8 + 1e-5 * abs(lay.nodata)
+        else:
+            null = flat == lay.nodata if lay.nodata is not None else np.zeros(len(flat), bool)
+        made = pa.array(flat, mask=null)
+        kind = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "decimal(20,0)": pa.decimal128(20, 0)}
+        return pc.cast(made, kind[TYPES[lay.code][1]])
 
     def read(self, partition):
         import pyarrow as pa
 
+        if partition.start >= partition.stop:
+            return
         system, name = _open(self.path)
+        x0, x1 = self.x
+        n, names = max(x1 - x0, 0), ["y", "x", "bands"]
         with system.open_input_file(name) as f:
-            cube = self._cube(f, partition)
-        if self.keep:
-            cube = cube[:, :, [int(b) for b in self.keep.split(",")]]
-        lay = self.layout
-        cube = cube.astype(np.float64 if lay.code == 5 else np.float32)
-        x0, x1 = (int(v) for v in self.options.get("x", f"0:{lay.samples}").split(":"))
-        for k, row in enumerate(cube):
-            row = row[x0:x1]
-            flat = row.ravel()
-            null = np.isnan(flat) if lay.nodata is None else np.isnan(flat) | (np.abs(flat - lay.nodata) <= 1e-8 + 1e-5 * abs(lay.nodata))
-            values = pa.array(flat.astype(np.float64), mask=null)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * cube.shape[2]), values)
-            n = len(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition.start + k] * n, pa.int32()), pa.array(np.arange(x0, x0 + n, dtype=np.int32)), lists], names=["y", "x", "bands"]
-            )
+            for line in range(partition.start, partition.stop) if n else ():
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(self.keep)), self._values(self._line(f, line).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, line, np.int32)), pa.array(np.arange(x0, x1, dtype=np.int32)), lists], names=names)
 
 
 class EnviSource(DataSource):
-    """``spark.read.format("envi")``: y, x, bands (null is nodata) of one binary.
+    """``spark.read.format("envi")``: y, x, bands (null is nodata) of one binary, in the header's type.
 
     Options: ``header`` (else beside the file), ``lines`` in a partition, ``y`` and ``x`` (``start:stop``,
-    half-open), ``bands`` (positions to keep). Only the lines and bands asked for are decoded.
+    half-open), ``bands`` (positions to keep). Only the bytes of what is asked for are read.
     """
 
     @classmethod
@@ -169,7 +200,8 @@ class EnviSource(DataSource):
         return "envi"
 
     def schema(self) -> str:
-        return "y int, x int, bands array<double>"
+        lay = read_layout(self.options["path"], self.options.get("header"))[0]
+        return f"y int, x int, bands array<{TYPES[lay.code][1]}>"
 
     def reader(self, schema):
         return EnviReader(dict(self.options), schema)
@@ -183,23 +215,10 @@ def register(spark: SparkSession) -> None:
 
 
 def read_cube(spark: SparkSession, path: str, dataset: str = "reflectance", ortho: bool = False, filter_bands=False, subset=None, **options) -> DataFrame:
-    """The reader with its pushed-down choices: bands to drop (or the bad ones), an index window, orthorectification.
+    """The pixels that ``reader.open_scene`` gives for these choices."""
+    from . import reader
 
-    A polygon or path as subset needs ``ortho``; a lookup table itself cannot be orthorectified.
-    """
-    from ..operators import pixels
-
-    if subset is not None and not isinstance(subset, dict) and not ortho:
-        raise ValueError("a polygon subset needs ortho=True")
-    if ortho and dataset == "glt":
-        raise ValueError("a lookup table cannot be orthorectified")
-    reader = spark.read.format("envi").options(**options)
-    for axis, r in (subset or {}).items() if isinstance(subset, dict) else ():
-        reader = reader.option(axis, f"{r.start or 0}:{r.stop}")
-    cube = reader.load(path)
-    if filter_bands is not False:
-        cube = pixels.band_filter(cube, dataset, None if filter_bands is True else list(filter_bands))
-    return cube
+    return reader.open_scene(spark, path, dataset, ortho, filter_bands, subset, **options).pixels
 
 
 # -- chunk index -----------------------------------------------------------------------------------
@@ -242,40 +261,56 @@ def write_index(index: DataFrame, output: str, inline: dict[str, object] | None
         f.write(json.dumps({"version": 1, "refs": refs}, indent=2).encode())
 
 
-def write_bil(pixels: DataFrame, path: str, layout: Layout) -> None:
-    """Write pixels as line-interleaved blocks ``<path>.<first line>``, one for each block of lines, and a header.
+def write_bil(pixels: DataFrame, path: str, layout: Layout, fields: dict[str, str] | None = None, block: int = 100) -> None:
+    """Write pixels as one line-interleaved binary and a header that ``EnviSource`` reads.
 
-    Each block is written by one task under a temporary name and then moved, so a task may run again.
-    Nulls become the sentinel.
+    Each block of lines is written by one task under a temporary name and then moved, so a task may run again; blocks without
+    pixels are nodata. The driver then joins the blocks, one buffer at a time. Nulls become the sentinel. ``fields`` are further
+    header lines.
     """
     import pandas as pd
 
     from ..session import ship
 
-    ship(pixels.sparkSession)
-    block, kind = 100, np.dtype(layout.order + TYPES[layout.code][0])
+    spark = pixels.sparkSession
+    ship(spark)
+    kind = np.dtype(layout.order + TYPES[layout.code][0])
+    blocks = -(-layout.lines // block)
+    fill = layout.nodata if layout.nodata is not None else np.nan if kind.kind in "fc" else 0
 
     def work(key, frame: pd.DataFrame) -> pd.DataFrame:
         first = int(key[0]) * block
         lines = min(block, layout.lines - first)
-        fill = np.nan if layout.nodata is None else layout.nodata
         cube = np.full((lines, layout.bands, layout.samples), fill, kind)
         for y, x, bands in zip(frame["y"], frame["x"], frame["bands"]):
-            v = np.array(bands, dtype=float)
-            cube[y - first, :, x] = np.where(np.isnan(v), fill, v)
-        system, name = _open(f"{path}.{first}")
+            if bands is not None and not pd.isna(y):
+                cube[int(y) - first, :, int(x)] = [fill if v is None or v != v else v for v in bands]
+        system, name = _open(f"{path}.block{int(key[0])}")
         with system.open_output_stream(name + ".tmp") as f:
             f.write(cube.tobytes())
         system.move(name + ".tmp", name)
         return pd.DataFrame({"first": [first], "lines": [lines]})
 
-    done = pixels.groupBy(F.floor(F.col("y") / block).alias("b")).applyInPandas(work, "first int, lines int")
-    done.count()
+    inside = pixels.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "bands")
+    inside = inside.where((F.col("y") >= 0) & (F.col("y") < layout.lines) & (F.col("x") >= 0) & (F.col("x") < layout.samples))
+    empty = spark.range(blocks).select((F.col("id") * block).cast("int").alias("y"), F.lit(0).alias("x"), F.lit(None).cast(inside.schema["bands"].dataType).alias("bands"))
+    inside.unionByName(empty).groupBy(F.floor(F.col("y") / block).alias("b")).applyInPandas(work, "first int, lines int").count()
+    system, name = _open(path)
+    with system.open_output_stream(name) as out:
+        for k in range(blocks):
+            with system.open_input_stream(f"{name}.block{k}") as part:
+                while piece := part.read(1 << 24):
+                    out.write(piece)
+            system.delete_file(f"{name}.block{k}")
     text = (
         f"ENVI\nsamples = {layout.samples}\nlines = {layout.lines}\nbands = {layout.bands}\nheader offset = 0\nfile type = ENVI Standard\n"
         f"data type = {layout.code}\ninterleave = bil\nbyte order = {0 if layout.order == '<' else 1}\n"
     )
     text += "" if layout.nodata is None else f"data ignore value = {layout.nodata}\n"
-    system, name = _open(path + ".hdr")
+    for key in ("wavelength", "fwhm"):
+        if values := getattr(layout, key):
+            text += f"{key} = {{ {', '.join(map(str, values))} }}\n"
+    text += "".join(f"{k} = {v}\n" for k, v in (fields or {}).items())
+    system, name = _open(header_of(path))
     with system.open_output_stream(name) as f:
         f.write(text.encode())

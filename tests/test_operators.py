@@ -108,15 +108,16 @@ def test_binary_round_trip(spark, tmp_path):
     (tmp_path / "scene").write_bytes(b"#" * 12 + data.transpose(0, 2, 1).tobytes())
     (tmp_path / "scene.hdr").write_text("ENVI\nsamples = 6\nlines = 7\nbands = 4\nheader offset = 12\ndata type = 4\ninterleave = bil\nbyte order = 0\ndata ignore value = -9999\n")
     envi.register(spark)
-    df = envi.read_cube(spark, path, subset={"y": slice(0, 5), "x": slice(0, 3)}, lines="2")
+    df = envi.read_cube(spark, path, subset={"y": slice(0, 5), "x": slice(0, 3)}, lines=2)
     assert df.rdd.getNumPartitions() == 3
     rows = {(r["y"], r["x"]): r["bands"] for r in df.collect()}
     assert len(rows) == 15 and rows[0, 0][0] is None
     assert np.allclose(rows[4, 2], data[4, 2])
     full = envi.read_cube(spark, path)
     layout = envi.Layout(6, 7, 4, nodata=-9999.0)
-    envi.write_bil(full, str(tmp_path / "out"), layout)
-    assert (tmp_path / "out.0").read_bytes() == data.transpose(0, 2, 1).tobytes()
+    envi.write_bil(full, str(tmp_path / "out"), layout, block=2)
+    assert (tmp_path / "out").read_bytes() == data.transpose(0, 2, 1).tobytes()
+    assert envi.read_cube(spark, str(tmp_path / "out")).exceptAll(full).count() == 0
 
 
 def test_headers():
