@@ -205,6 +205,10 @@ class Scene:
         right = other.pixels.select("y", "x", *other.values)
         return replace(self, pixels=self.pixels.join(right, ["y", "x"], "full"))
 
+    def keep(self, *names: str) -> Scene:
+        """Only some of the variables."""
+        return replace(self, pixels=self.pixels.select(*[c for c in self.pixels.columns if c in names or c not in self.values]))
+
     def named(self, name: str) -> Scene:
         """``bands`` under another name, so that variables can be merged."""
         return replace(self, pixels=self.pixels.withColumnRenamed("bands", name))

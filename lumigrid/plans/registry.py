@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import geometry, load, pca, pixels
-from ..sources import catalog, envi
+from ..operators import geometry, load, pca, pixels, scene
+from ..operators.scene import Scene
+from ..session import workspace
+from ..sources import catalog, envi, reader
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -272,24 +274,26 @@ def interval_lookup(spark, d):
 
 
 # -- orthorectification ----------------------------------------------------------------------------
-def _glt(spark, side: int = 30):
-    i = F.col("id")
-    raw = spark.range(side * side).select(
+def _glt(spark, d, side: int = 30):
+    """As many map cells as the table has pixels, whose sources lie all over its grid."""
+    rows = max(table(spark, d, "embeddings").count() // WIDTH, 1)  # from the files' footers
+    i = F.col("vec_id")
+    raw = table(spark, d, "embeddings").select(
         (i / side).cast("int").alias("gy"), (i % side).cast("int").alias("gx"),
-        F.when(i % 11 == 0, -9999).otherwise((i * 7) % 20 + 1).cast("int").alias("src_y"), F.when(i % 13 == 0, -9999).otherwise((i * 3) % WIDTH + 1).cast("int").alias("src_x"),
+        F.when(i % 11 == 0, -9999).otherwise((i * 7) % rows + 1).cast("int").alias("src_y"), F.when(i % 13 == 0, -9999).otherwise((i * 3) % WIDTH + 1).cast("int").alias("src_x"),
     )
     return pixels.glt(raw)
 
 
 _GLT = (
-    "glt AS (SELECT (i // 30)::INT AS gy, (i % 30)::INT AS gx, CASE WHEN i % 11 = 0 OR i % 13 = 0 THEN NULL ELSE ((i * 7) % 20)::INT END AS src_y, "
-    "CASE WHEN i % 11 = 0 OR i % 13 = 0 THEN NULL ELSE ((i * 3) % 25)::INT END AS src_x FROM range(900) t(i))"
+    "glt AS (SELECT (i // 30)::INT AS gy, (i % 30)::INT AS gx, CASE WHEN i % 11 = 0 OR i % 13 = 0 THEN NULL ELSE ((i * 7) % (SELECT count(*) // 25 FROM embeddings))::INT END AS src_y, "
+    "CASE WHEN i % 11 = 0 OR i % 13 = 0 THEN NULL ELSE ((i * 3) % 25)::INT END AS src_x FROM (SELECT vec_id AS i FROM embeddings))"
 )
 _JOIN = f"WITH {PX}, {_GLT}, o AS (SELECT gy, gx, src_y, src_x, bands FROM glt LEFT JOIN px ON src_y = y AND src_x = x) "
 
 
 def _ortho(spark, d):
-    return pixels.orthorectify(grid(spark, d), _glt(spark))
+    return pixels.orthorectify(grid(spark, d), _glt(spark, d))
 
 
 @query(_JOIN + "SELECT gy, gx, bands[6] AS v FROM o")
@@ -304,7 +308,7 @@ def ortho_bands(spark, d):
 
 @query(_JOIN + "SELECT gy, gx, bands[1] AS v FROM o WHERE src_y >= 4 AND src_y < 12 AND src_x >= 5 AND src_x < 20")
 def ortho_windowed(spark, d):
-    cells = pixels.cells_of_window(_glt(spark), (4, 12), (5, 20))
+    cells = pixels.cells_of_window(_glt(spark, d), (4, 12), (5, 20))
     return pixels.orthorectify(grid(spark, d), cells).select("gy", "gx", F.get("bands", F.lit(0)).alias("v"))
 
 
@@ -312,7 +316,7 @@ def ortho_windowed(spark, d):
 def ortho_with_elevation(spark, d):
     px = grid(spark, d)
     igm = pixels.layers(px, pixels.IGM).select("y", "x", "elevation")
-    cells = _glt(spark).withColumns({"lat": scalars.corner_y(T, F.col("gy")), "lon": scalars.corner_x(T, F.col("gx"))})
+    cells = _glt(spark, d).withColumns({"lat": scalars.corner_y(T, F.col("gy")), "lon": scalars.corner_x(T, F.col("gx"))})
     out = pixels.orthorectify(px.join(igm, ["y", "x"]), cells)
     return out.select("gy", "gx", "lat", "lon", F.get("bands", F.lit(0)).alias("v"), "elevation")
 
@@ -321,7 +325,7 @@ def ortho_with_elevation(spark, d):
 def ortho_time(spark, d):
     t = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.get("bands", F.lit(k)).alias("v")) for k in range(3)]))
     px = grid(spark, d).select("y", "x", t.alias("s")).select("y", "x", "s.t", "s.v")
-    cells = _glt(spark).withColumn("t", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    cells = _glt(spark, d).withColumn("t", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return pixels.orthorectify(px, cells, ["t"]).select("t", "gy", "gx", "v")
 
 
@@ -472,14 +476,151 @@ def scene_contains_else_intersects(spark, d):
     return geometry.scenes_for(_scenes(spark, d), AREA).select("scene_id", "date", "contains")
 
 
-@query()
+def _utm_sql() -> str:
+    """The series of ``scalars.utm_of`` as SQL."""
+    xi, eta = "atan2(t, cos(lam))", "atanh(sin(lam) / sqrt(t * t + 1))"
+    x = " + ".join(["eta", *[f"{a!r}::DOUBLE * cos(xi * {2 * j}) * sinh(eta * {2 * j})" for j, a in enumerate(scalars._ALPHA, 1)]])
+    y = " + ".join(["xi", *[f"{a!r}::DOUBLE * sin(xi * {2 * j}) * cosh(eta * {2 * j})" for j, a in enumerate(scalars._ALPHA, 1)]])
+    c, k = 2 * scalars._N**0.5 / (1 + scalars._N), scalars._K0 * scalars._RADIUS
+    return (
+        "WITH e AS (SELECT event_id, radians(value % 60 + 5) AS phi, radians((user_id % 100 - 50) * 0.05::DOUBLE) AS lam FROM events), "
+        f"t AS (SELECT *, sinh(atanh(sin(phi)) - atanh(sin(phi) * {c!r}::DOUBLE) * {c!r}::DOUBLE) AS t FROM e), w AS (SELECT *, {xi} AS xi, {eta} AS eta FROM t) "
+        f"SELECT event_id, round(({x}) * {k!r}::DOUBLE + 500000, 3) AS east, round(({y}) * {k!r}::DOUBLE, 3) AS north, 0::DOUBLE AS off_lat, 0::DOUBLE AS off_lon FROM w"
+    )
+
+
+@query(_utm_sql())
 def utm_round_trip(spark, d):
     """Points of a zone to UTM and back."""
     e = table(spark, d, "events").select("event_id", (F.col("value") % 60 + 5).alias("lat"), (F.lit(-117.0) + (F.col("user_id") % 100 - 50) * 0.05).alias("lon"))
     east, north = scalars.utm_of(F.col("lat"), F.col("lon"), 11)
     e = e.select("*", east.alias("east"), north.alias("north"))
     lat, lon = scalars.geographic_of(F.col("east"), F.col("north"), 11)
-    return e.select("event_id", r6("east", "east"), r6("north", "north"), F.round(lat - F.col("lat"), 8).alias("off_lat"), F.round(lon - F.col("lon"), 8).alias("off_lon"))
+    off = [(F.round(a - F.col(c), 6) + 0.0).alias(f"off_{c}") for a, c in ((lat, "lat"), (lon, "lon"))]
+    return e.select("event_id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), *off)
+
+
+# -- scenes and files ------------------------------------------------------------------------------
+def _size(spark, d) -> tuple[int, int]:
+    return -(-table(spark, d, "embeddings").count() // WIDTH), WIDTH
+
+
+def _scene(spark, d, **more) -> Scene:
+    return Scene(grid(spark, d), "radiance", *_size(spark, d), **({"transform": T, "epsg": 32611} | more))
+
+
+@query(f"WITH {PX} SELECT y, x, bands[2] AS a, bands[8] AS b, bands[9] AS c FROM px WHERE y >= 3 AND x >= 5 AND x < 21")
+def envi_reader(spark, d):
+    """The table's cube as a binary, read again: three bands and a window of it."""
+    path = workspace(spark, "cube")
+    reader.write_scene(_scene(spark, d, nodata=-9999.0), path, 5)
+    cube = reader.open_raster(spark, path, bands=[1, 7, 8], subset={"y": slice(3, None), "x": slice(5, 21)}).pixels
+    return cube.select("y", "x", *[F.col("bands")[k].alias(n) for k, n in enumerate("abc")])
+
+
+@query(
+    _JOIN.rstrip() + " SELECT gy AS y, gx AS x, bands[1] AS a, bands[64] AS b, (src_y * 2 + src_x)::DOUBLE AS elevation FROM o WHERE gx < 30"
+)
+def reader_ortho(spark, d):
+    """The reader on files: bands dropped, orthorectified through lookup and location files."""
+    root = workspace(spark, "line")
+    path, glt, igm = (f"{root}/{k}/ang20220224t200332_{k}" for k in ("rdn", "glt", "igm"))
+    rows, cols = _size(spark, d)
+    reader.write_scene(_scene(spark, d), path, 5)
+    cells = _glt(spark, d).select(F.col("gy").alias("y"), F.col("gx").alias("x"), F.array(*[F.coalesce(F.col(c) + 1, F.lit(-9999)) for c in ("src_x", "src_y")]).alias("bands"))
+    reader.write_scene(Scene(cells, "glt", transform=T, epsg=32611, nodata=-9999.0), glt, 3)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    reader.write_scene(Scene(grid(spark, d).select("y", "x", F.array(x, y, y * 2 + x).alias("bands")), "igm"), igm, 5)
+    made = reader.open_scene(spark, path, ortho=True, filter_bands=list(range(1, 63))).pixels
+    # The last line of the lookup file is filled up with cells that the table does not have.
+    made = made.where(F.col("y") * 30 + F.col("x") < table(spark, d, "embeddings").count())
+    return made.select("y", "x", F.get("bands", F.lit(0)).alias("a"), F.get("bands", F.lit(1)).alias("b"), "elevation")
+
+
+_SHAPE = {1: [[(500004.0, 3799998.0), (500055.0, 3799990.0), (500040.0, 3799960.0), (500010.0, 3799975.0)]]}
+_SHAPE_ROWS = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for r in _SHAPE[1] for a, b in zip(r, [*r[1:], r[0]]))
+
+
+@query(
+    f"WITH {PX}, e(x1, y1, x2, y2) AS (VALUES {_SHAPE_ROWS}), p AS (SELECT y, x, bands[1] AS v, 500000::DOUBLE + (x + 0.5::DOUBLE) * 2.6::DOUBLE AS px, 3800000::DOUBLE + (y + 0.5::DOUBLE) * -2.6::DOUBLE AS py FROM px), "
+    "h AS (SELECT y, x FROM p, e WHERE (y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) GROUP BY y, x HAVING count(*) % 2 = 1), "
+    "b AS (SELECT min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM h) SELECT p.y AS y, p.x AS x, CASE WHEN h.y IS NOT NULL THEN v END AS v FROM p JOIN b ON p.y BETWEEN y0 AND y1 AND p.x BETWEEN x0 AND x1 LEFT JOIN h ON h.y = p.y AND h.x = p.x"
+)
+def clip_nodata_crop(spark, d):
+    """The rectangle of a polygon's pixels, nodata outside it."""
+    cut = _scene(spark, d).clip(geometry.edges_of(spark, _SHAPE))
+    return cut.pixels.select("y", "x", F.get("bands", F.lit(0)).alias("v"))
+
+
+_TWO = (
+    f"WITH {PX}, s AS (SELECT y::INT AS y, x::INT AS x, 0 AS src, CASE WHEN bands[1] > -0.1::DOUBLE THEN bands[1] END AS v, bands[2] AS w FROM px "
+    "UNION ALL SELECT (y + 4)::INT, (x + 7)::INT, 1, bands[3], CASE WHEN bands[4] > 0 THEN bands[4] END FROM px), n AS (SELECT max(y) + 1 AS rows, max(x) + 1 AS cols FROM s), "
+    "c AS (SELECT (i // 32)::INT AS y, (i % 32)::INT AS x FROM (SELECT unnest(range(rows * 32)) AS i FROM n)) "
+)
+
+
+def _two(spark, d) -> list[Scene]:
+    px, band = grid(spark, d), lambda k: F.get("bands", F.lit(k))
+    rows, cols = _size(spark, d)
+    first = px.select("y", "x", F.when(band(0) > -0.1, band(0)).alias("v"), band(1).alias("w"))
+    second = px.select("y", "x", band(2).alias("v"), F.when(band(3) > 0, band(3)).alias("w"))
+    moved = (T[0], 0.0, T[2] + 7 * T[0], 0.0, T[4], T[5] + 4 * T[4])
+    return [Scene(first, "radiance", rows, cols, T, 32611), Scene(second, "radiance", rows, cols, moved, 32611)]
+
+
+@query(_TWO + "SELECT c.y AS y, c.x AS x, arg_min(v, src) FILTER (WHERE v IS NOT NULL) AS v FROM c LEFT JOIN s ON s.y = c.y AND s.x = c.x GROUP BY c.y, c.x")
+def mosaic_union_extent(spark, d):
+    """Two scenes that overlap in part, on the grid of their union."""
+    return scene.mosaic([s.keep("v") for s in _two(spark, d)]).pixels
+
+
+@query(_TWO + "SELECT c.y AS y, c.x AS x, max(v) AS v, max(w) AS w FROM c LEFT JOIN s ON s.y = c.y AND s.x = c.x GROUP BY c.y, c.x")
+def mosaic_dataset(spark, d):
+    """The same for two variables at once."""
+    return scene.mosaic(_two(spark, d), method="max").pixels
+
+
+@query(f"WITH {PX} SELECT (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(bands[1]), 6) AS v FROM px WHERE x < 24 AND y < (SELECT count(*) // 50 * 2 FROM embeddings) GROUP BY ALL")
+def reproject_average(spark, d):
+    """Cells of twice the size."""
+    even = pixels.window(grid(spark, d), (0, _size(spark, d)[0] // 2 * 2), (0, 24)).select("y", "x", F.get("bands", F.lit(0)).alias("v"))
+    made = Scene(even, "radiance", _size(spark, d)[0] // 2 * 2, 24, T, 32611).reproject(resolution=5.2, method="average").pixels
+    return made.select("y", "x", r6("v", "v"))
+
+
+_WEDGE = {0: [[(40.5, 40.5), (60.5, 41.5), (50.5, 60.5)]]}
+_WEDGE_ROWS = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for r in _WEDGE[0] for a, b in zip(r, [*r[1:], r[0]]))
+
+
+def _side(p: str, q: str, r: str) -> str:
+    return f"(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
+
+
+_P, _Q, _R, _S = ("x1", "y1"), ("x2", "y2"), ("ax1", "ay1"), ("ax2", "ay2")
+
+
+@query(
+    "WITH s AS (SELECT o_orderkey AS geom_id, strftime(o_orderdate, '%Y%m%d') AS date, (o_orderkey % 97)::DOUBLE AS x0, (o_orderkey % 89)::DOUBLE AS y0, (o_orderkey % 60 + 5)::DOUBLE AS w FROM orders), "
+    f"a(ax1, ay1, ax2, ay2) AS (VALUES {_WEDGE_ROWS}), "
+    "e AS (SELECT geom_id, x0 AS x1, y0 AS y1, x0 + w AS x2, y0 AS y2 FROM s UNION ALL SELECT geom_id, x0 + w, y0, x0 + w, y0 + w FROM s UNION ALL SELECT geom_id, x0 + w, y0 + w, x0, y0 + w FROM s UNION ALL SELECT geom_id, x0, y0 + w, x0, y0 FROM s), "
+    f"cut AS (SELECT DISTINCT geom_id FROM e, a WHERE {_side(_P, _Q, _R)} * {_side(_P, _Q, _S)} < 0 AND {_side(_R, _S, _P)} * {_side(_R, _S, _Q)} < 0), "
+    "held AS (SELECT geom_id, count(*) AS n FROM s, a WHERE ay1 >= y0 AND ay1 < y0 + w AND ax1 >= x0 AND ax1 < x0 + w GROUP BY geom_id), "
+    "c AS (SELECT e.geom_id, e.x1, e.y1, count(*) AS k FROM e, a WHERE (ay1 > y1) <> (ay2 > y1) AND x1 < ax1 + (y1 - ay1) * (ax2 - ax1) / (ay2 - ay1) GROUP BY ALL HAVING count(*) % 2 = 1), "
+    "m AS (SELECT geom_id, date, coalesce(n, 0) = 3 AND geom_id NOT IN (FROM cut) AS contains FROM s LEFT JOIN held USING (geom_id) WHERE n > 0 OR geom_id IN (FROM cut) OR geom_id IN (SELECT geom_id FROM c)), "
+    "w AS (SELECT *, bool_or(contains) OVER (PARTITION BY date) AS any_ FROM m) SELECT geom_id, date, contains FROM w WHERE contains OR NOT any_"
+)
+def scene_exact(spark, d):
+    """Boxes as polygons against a triangle: those that hold it, else those that meet it."""
+    b = _scenes(spark, d)
+    corner = {"a": ("minx", "miny"), "b": ("maxx", "miny"), "c": ("maxx", "maxy"), "e": ("minx", "maxy")}
+    sides = [F.struct(*[F.col(v).alias(n) for v, n in zip((*corner[p], *corner[q]), ("x1", "y1", "x2", "y2"))]) for p, q in ("ab", "bc", "ce", "ea")]
+    edges = b.select(F.col("scene_id").alias("geom_id"), "date", F.explode(F.array(*sides)).alias("s")).select("geom_id", "date", "s.*")
+    return geometry.scenes_exact(edges, geometry.edges_of(spark, _WEDGE))
+
+
+@query(f"WITH {PX} SELECT y, x, (((row_number() OVER (ORDER BY y, x)) - 1) // 7)::BIGINT AS batch FROM px")
+def row_batches(spark, d):
+    return pixels.batches(grid(spark, d).select("y", "x"), ["y", "x"], 7)
 
 
 # -- components ------------------------------------------------------------------------------------

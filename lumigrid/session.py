@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,3 +36,13 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._lumigrid_shipped = True
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``, which driver and executors share; on a local master without it, a temporary folder."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="lumigrid-")
+    return f"{found.rstrip('/')}/lumigrid-{name}-{uuid.uuid4().hex}"

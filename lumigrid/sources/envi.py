@@ -291,6 +291,9 @@ def write_bil(pixels: DataFrame, path: str, layout: Layout, fields: dict[str, st
         system.move(name + ".tmp", name)
         return pd.DataFrame({"first": [first], "lines": [lines]})
 
+    system, name = _open(path)
+    if "/" in name:
+        system.create_dir(name.rpartition("/")[0])
     inside = pixels.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "bands")
     inside = inside.where((F.col("y") >= 0) & (F.col("y") < layout.lines) & (F.col("x") >= 0) & (F.col("x") < layout.samples))
     empty = spark.range(blocks).select((F.col("id") * block).cast("int").alias("y"), F.lit(0).alias("x"), F.lit(None).cast(inside.schema["bands"].dataType).alias("bands"))
