@@ -2,12 +2,13 @@
 
 The labelled URLs are those that a rule judges: block is 1, allow 0. Trees learn from lexical features
 of all of them: lengths, depth, digit ratio, character entropy, parameter counts, and statistics of the host's
-suffix over the table (its share of URLs, their mean length, and the labels' smoothed mean). URLs
-that no rule fits get the trees' verdict.
+suffix over the table (its share of URLs, their mean length, and the labels' smoothed mean). The labels' mean is taken out of fold:
+``FOLDS`` folds by the hash of the host's last two names, and a URL's mean comes from the other folds, so that neither a URL's own label nor
+those of its site reach its features. URLs that no rule fits get the trees' verdict. ``evaluate`` scores trees on a fold held out.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; its
-features are those of its text. Repeated rows are judged alike. Without labels of both kinds the
-method's verdict is that kind, or allow. An empty table gives an empty result. Other columns are ignored.
+features are those of its text. Very long urls are taken whole. Repeated rows are judged alike. Without labels of both kinds the
+method's verdict is that kind, or allow. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import hot_join, stash, table
 
 #: (verdict, host, start of the path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: At most about so many labelled URLs train the trees, chosen by hash of the URL.
 TRAIN_ROWS = 200_000
-TREES, DEPTH, PRIOR = 20, 4, 20
+TREES, DEPTH, PRIOR, FOLDS = 20, 4, 20, 5
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "host_digits", "digit_ratio", "mark_ratio", "entropy", "parameters",
     "query_length", "longest_label", "suffix_share", "suffix_length", "suffix_rate",
@@ -72,6 +73,7 @@ def featured(urls: DataFrame) -> DataFrame:
     query = F.regexp_extract("url", r"\?([^#]*)", 1)
     u = urls.withColumns({
         "suffix": F.substring_index("host", ".", -1),
+        "fold": F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(FOLDS)).cast("int"),
         "url_length": F.length("url").cast("double"),
         "host_length": F.length("host").cast("double"),
         "path_length": F.length("path").cast("double"),
@@ -88,26 +90,56 @@ def featured(urls: DataFrame) -> DataFrame:
     u = stash(u, "urls")
     total = u.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
     rate = 0.5 if total["rate"] is None else total["rate"]
-    by = u.groupBy("suffix").agg(
-        (F.count("*") / F.lit(float(max(total["n"], 1)))).alias("suffix_share"),
-        F.avg("url_length").alias("suffix_length"),
-        ((F.coalesce(F.sum("label"), F.lit(0.0)) + PRIOR * rate) / (F.count("label") + PRIOR)).alias("suffix_rate"),
+    by = u.groupBy("suffix", "fold").agg(
+        F.count("*").alias("held"), F.sum("url_length").alias("long"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad"), F.count("label").alias("known")
     )
-    return u.join(by, "suffix")
+    by = stash(by, "suffixes")  # a few rows for each suffix
+    whole = by.groupBy("suffix").agg(*[F.sum(c).alias(f"all_{c}") for c in ("held", "long", "bad", "known")])
+    by = by.join(whole, "suffix").select(
+        "suffix", "fold", "held",
+        (F.col("all_held") / F.lit(float(max(total["n"], 1)))).alias("suffix_share"),
+        (F.col("all_long") / F.col("all_held")).alias("suffix_length"),
+        ((F.col("all_bad") - F.col("bad") + PRIOR * rate) / (F.col("all_known") - F.col("known") + PRIOR)).alias("suffix_rate"),
+    )
+    return hot_join(u, stash(by, "suffixes"), ["suffix", "fold"], "held").drop("held")
+
+
+def _labelled(pages: DataFrame, rules) -> DataFrame:
+    u = parsed(pages).withColumn("r", ruled(rules))
+    u = u.withColumn("label", F.when(F.col("r.verdict") == "block", 1.0).when(F.col("r.verdict") == "allow", 0.0))
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(stash(featured(u), "features"))
+
+
+def _trees() -> GBTClassifier:
+    return GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=5, maxBins=64)
+
+
+def evaluate(pages: DataFrame, rules=RULES) -> tuple[int, float | None]:
+    """Labelled URLs that were held out, and the share of them that trees of the other folds judge as the rules do.
+
+    Each fold, so each site, is held out once, if URLs of both labels are left to train on.
+    """
+    known = _labelled(pages, rules).where("label IS NOT NULL")
+    n = right = 0
+    for fold in range(FOLDS):
+        train, test = known.where(F.col("fold") != fold), known.where(F.col("fold") == fold)
+        if test.isEmpty() or train.select("label").distinct().count() < 2:
+            continue
+        a, b = _trees().fit(train).transform(test).agg(F.count("*"), F.sum((F.col("prediction") == F.col("label")).cast("long"))).first()
+        n, right = n + a, right + b
+    return n, right / n if n else None
 
 
 def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score (of the trees, null where a rule judges)."""
-    u = parsed(pages).withColumn("r", ruled(rules))
-    u = u.withColumn("label", F.when(F.col("r.verdict") == "block", 1.0).when(F.col("r.verdict") == "allow", 0.0))
-    u = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(stash(featured(u), "features"))
+    u = _labelled(pages, rules)
     kinds = {r["label"]: r["count"] for r in u.where("label IS NOT NULL").groupBy("label").count().collect()}
     rest, known = u.where("label IS NULL"), u.where("label IS NOT NULL")
     base = known.select("page_id", "host", "path", "r.rule", "r.verdict", F.lit(None).cast("double").alias("block_score"))
     if len(kinds) == 2:
         share = min(1.0, train_rows / sum(kinds.values()))
         train = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000))
-        trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=5, maxBins=64).fit(train)
+        trees = _trees().fit(train)
         judged = trees.transform(rest).withColumn("block_score", F.element_at(_second(), 1))
         verdict = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
     else:

@@ -310,3 +310,68 @@ def test_pipeline_leaves_no_repeated_run(spark, tmp_path):
     left = {i: r["text"] for i, r in rows.items()}
     assert sorted(left) == [0, 1, 2, 3] and not spread(left) and left[0] == texts[0] and left[3] == texts[3]
     assert all(len(words(left[i])) >= len(words(texts[i])) - 56 and rows[i]["n_chars"] == len(left[i]) for i in left)
+
+
+def test_url_rules_by_brute_force(spark):
+    """Hosts, paths, rules and their verdicts of the whole table; the trees on a fold held out."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    by = {r["page_id"]: r for r in op05_url_filter.judge(pages.withColumns({"host": F.lit("x"), "label": F.lit(7), "fold": F.lit("a"), "held": F.lit(1)})).collect()}
+    for p in pages.collect():
+        _, sep, rest = (p["url"] or "").partition("://")
+        host = "".join(c.lower() if c.isascii() else c for c in re.split("[/?#]", rest)[0]) if sep else ""
+        path = re.split("[?#]", rest[len(re.split("[/?#]", rest)[0]) :])[0] if sep else ""
+        fits = [(len(h + s), v, h + s) for v, h, s in rules if (host == h or host.endswith("." + h)) and path.startswith(s)]
+        r, best = by[p["page_id"]], max(fits, default=None)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[2]) and (best is None or r["verdict"] == best[1])
+    n, right = op05_url_filter.evaluate(pages)
+    assert n > 50 and 0 <= right <= 1
+    assert op05_url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_embeddings_of_one_id_and_of_any_size(spark):
+    """Different vectors of one vec_id are further vectors; huge and tiny components link; other columns do not matter."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [1e200, 1e200], 2), (4, [1e200, 1.0001e200], 2), (5, [1e-300, 0.0], 3), (6, [1e-300, 1e-305], 3), (6, [1e-300, 1e-305], 3)]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "vec_id long, embedding array<double>, label int, grp string, weight int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in op06_embedding_dedup.link(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False)]
+
+
+def test_rows_of_one_doc_id(spark):
+    """Texts of one doc_id are documents of their own in op 3, op 4, op 7 and the stages; columns named like their own do not clash."""
+    p, u, v = prose(80), prose(80), prose(80)
+    rows = [(0, p), (1, p), (1, u), (None, p), (2, v), (2, v), (3, v)]
+    names = ("removed_lines", "repeats_of", "h", "own_doc", "own_hash", "kept", "class_id", "_doc", "_gone", "_bad", "predicted")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    cut = [(r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_paragraphs(spark, df, "").select("doc_id", "text").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted(cut, key=key) == sorted([(0, p), (1, ""), (1, u), (None, p), (2, v), (2, v), (3, "")], key=key)
+    assert corpus_pipeline.repeated_paragraphs(spark, df, "").columns == df.columns
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=key) == sorted([(0, p), (1, u), (None, p), (2, v)], key=key)
+
+
+def test_stages_of_empty_tables(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_ridge_by_dense_solution():
+    """The features approximate the Gaussian kernel that the README names, so ridge scores approach the kernel's own."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 4))
+    wave = op04_quality.Fourier(np.zeros(4), np.ones(4), 20000)
+    z = wave(x)[:, 1:]
+    want = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / 2 / op04_quality.WIDTH**2)
+    assert np.abs(z @ z.T - want).max() < 0.05
+
+
+def test_sentencepiece_over_a_table(spark, docs, empty):
+    """The vocabulary's pieces over whole texts, nulls and repeats: the round trip, and scores no worse than any other split's."""
+    rows = op08_sentencepiece.encode(docs.withColumns({"ids": F.lit(1), "decoded": F.lit("x"), "n_tokens": F.lit(2)})).collect()
+    assert len(rows) == 13 and all(r["decoded"] == (r["text"] or "") for r in rows)
+    assert all(r["n_tokens"] * 2 == len(r["ids"]) for r in rows) and op08_sentencepiece.encode(empty).count() == 0
