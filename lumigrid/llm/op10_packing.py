@@ -2,8 +2,8 @@
 
 A document's hashed vector (runs of four bytes) is projected to four dimensions, each mapped to 8 bits, and turned into
 its Hilbert key; 21 bits of a hash of the row's place in its input partition follow, so that equal documents, which have equal keys,
-can be dealt to several ranges, also rows that repeat a doc_id or have none. Ranges of about equal counts come from approximate
-quantiles of the keys, lines between them if there are more; their number grows with the bytes of the texts. One exchange brings the token
+can be dealt to several ranges, also rows that repeat a doc_id or have none. Ranges of about equal bytes come from approximate
+quantiles of the keys, each counted by its text's length, lines between them if there are more; their number grows with the bytes of the texts. One exchange brings the token
 ids of a range together in a partition of its own; sorted by key they are cut at each
 multiple of the length, so neighbours on the curve share sequences and no token is padding. The rest
 of a range is cut into sequences whose lengths are powers of two, which need no padding either.
@@ -33,6 +33,8 @@ END = 2
 DIMENSIONS, BITS, SALT = 4, 8, 21
 #: Steps of the keys' distribution that the driver gets.
 QUANTILES = 1000
+#: A text's key counts once in that distribution for so many characters, and a row is taken to need ROW besides: ranges are alike in bytes.
+WEIGHT, ROW = 1024, 64
 _BUCKET_BITS = 10
 _BUCKETS = 1 << _BUCKET_BITS
 _GRAM = (hashing.stream(9, 4) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
@@ -266,7 +268,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     def key_only(frames):
         for frame, place in _placed(frames):
             texts = frame["text"].tolist()
-            yield pd.DataFrame({"key": keys(place, texts), "size": [len(t or "") for t in texts]})
+            size = np.array([len(t or "") for t in texts], np.int64)
+            # Rounded up or down by a hash, so that many short texts count right too.
+            copies = (size + ROW + (hashing.mix(place) % np.uint64(WEIGHT)).astype(np.int64)) // WEIGHT
+            yield pd.DataFrame({"key": np.repeat(keys(place, texts), copies), "size": 0})
+            yield pd.DataFrame({"key": pd.array([None], "Int64"), "size": [size.sum()]})
 
     share = F.array(*[F.lit(k / QUANTILES) for k in range(QUANTILES + 1)])
     found = source.mapInPandas(key_only, "key long, size long").agg(F.percentile_approx("key", share, F.lit(20 * QUANTILES)), F.sum("size")).first()

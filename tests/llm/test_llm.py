@@ -375,3 +375,39 @@ def test_sentencepiece_over_a_table(spark, docs, empty):
     rows = op08_sentencepiece.encode(docs.withColumns({"ids": F.lit(1), "decoded": F.lit("x"), "n_tokens": F.lit(2)})).collect()
     assert len(rows) == 13 and all(r["decoded"] == (r["text"] or "") for r in rows)
     assert all(r["n_tokens"] * 2 == len(r["ids"]) for r in rows) and op08_sentencepiece.encode(empty).count() == 0
+
+
+def test_packing_of_a_whole_table(spark):
+    """Every piece of every document against the tokenizer; sequences gapless and full, or powers of two."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(path("word_bpe_49k.json")))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    own, filled = {}, {}
+    for r in op10_packing.op10_hilbert_packing(spark, "/root/testdata/sf0.01").collect():
+        own.setdefault(r["doc_id"], []).append(r)
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(own) == set(texts)
+    for i, pieces in own.items():
+        ids, at = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids + [2], "<u4"), 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for pieces in filled.values():
+        end = 0
+        for offset, n in sorted(pieces):
+            assert offset == end
+            end += n
+        assert end <= 4096 and end & (end - 1) == 0
+
+
+def test_packing_ranges_follow_bytes(spark):
+    """Long texts among many short ones: no range gets much more than its share of the ids."""
+    rows = [(i, prose(8)) for i in range(3000)] + [(i, prose(2000)) for i in range(3000, 3060)]
+    made = op10_packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), ranges=8).collect()
+    held = np.zeros(8)
+    for r in made:
+        held[r["sequence_id"] >> 32] += r["length"]
+    assert held.max() <= 2 * held.mean()
