@@ -145,16 +145,18 @@ def pairs(docs: DataFrame, threshold: float = 0.8, base: float | None = None) ->
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("s")).where("size(s) > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("s").agg(F.min("doc_id").alias("id"))
     step = math.log(base or 1 / threshold)
+    # A hair lower in the bounds, as 100 * 0.55 is a little more than 55; the last test is exact.
+    bound = threshold - 1e-9
     classes = classes.withColumns({"n": F.size("s"), "part": F.floor(F.log(F.size("s").cast("double")) / step).cast("int")})
     tokens = classes.select("id", "n", "part", F.explode("s").alias("t"))
     count = tokens.groupBy("t").agg(F.count("*").alias("df"))
     ranked = tokens.join(count, "t").groupBy("id", "n", "part").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-    prefix = F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
+    prefix = F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * bound).cast("int") + 1)
     rare = ranked.select("id", "n", "part", F.explode(prefix).alias("x")).select("id", "n", "part", F.col("x.t").alias("t"))
     up = rare.select(F.col("id").alias("b"), F.col("n").alias("m"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "t")
     found = rare.select(F.col("id").alias("a"), "n", "part", "t").join(up, ["part", "t"])
     found = found.where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
-    found = found.where(F.col("n") >= F.col("m") * threshold).select("a", "b").distinct()
+    found = found.where(F.col("n") >= F.col("m") * bound).select("a", "b").distinct()
     left, right = classes.select(F.col("id").alias("a"), F.col("s").alias("sa")), classes.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     out = found.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
     return out.where(F.col("likeness") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")

@@ -66,6 +66,27 @@ def test_spotsigs(docs, empty):
     assert {(r["a"], r["b"]) for r in op01_spotsigs.pairs(docs).collect()} == {(0, 1)}
 
 
+def test_spotsigs_pairs_by_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = prose(200).split()
+    near = [" ".join([*words[: 5 * k], "other", *words[5 * k :]]) for k in range(30)]
+    edge = [" ".join(f"the a{i} b{i}" for i in range(k)) for k in (54, 99)]  # 55 of 100 signatures
+    rows = [(10**6 + i, t) for i, t in enumerate([*near, *edge, edge[0], None, "", "the"])]
+    d = table.union(spark.createDataFrame([*rows, (None, near[0])], table.schema))
+    first = {}
+    for r in d.where("doc_id IS NOT NULL").orderBy("doc_id").select("doc_id", op01_spotsigs.signatures(F.col("text")).alias("s")).collect():
+        if r["s"]:
+            first.setdefault(frozenset(r["s"]), r["doc_id"])
+    sets = list(first.items())
+    same = {(i, j): len(a & b) / len(a | b) for k, (a, i) in enumerate(sets) for b, j in sets[k + 1 :]}
+    for threshold in (0.8, 0.55):
+        want = {k: v for k, v in same.items() if v >= threshold}
+        assert {(r["a"], r["b"]): r["likeness"] for r in op01_spotsigs.pairs(d, threshold).collect()} == want
+    group = sorted(i for i in first.values() if 10**6 <= i < 10**6 + 30)
+    assert len(group) > 10 and all((i, j) in want for k, i in enumerate(group) for j in group[k + 1 :])
+    assert want[10**6 + 30, 10**6 + 31] == 0.55
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/\r\nx", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", "x" * 100_000), (None, "u", "<p>é</p>"), (5, "v", "a\r\n\r\nb")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
