@@ -141,16 +141,36 @@ def cells_of_window(cells: DataFrame, y: tuple[int, int], x: tuple[int, int]) ->
 
 
 MANY_TIMES = 10_000
+#: Values in a run of ``folded``.
+RUN = 1000
 
 
 # -- mosaics ---------------------------------------------------------------------------------------
+def _fold(values: Column, method) -> Column:
+    """An array's values folded from the left; null if it is empty. The array stands in a variable, as it is made once."""
+    rest = lambda r: F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))
+    return F.get(F.transform(F.array(values), lambda r: F.aggregate(rest(r), F.get(r, F.lit(0)), method)), F.lit(0))
+
+
+def folded(values: DataFrame, method, key, value: str = "v", order: str = "src") -> DataFrame:
+    """The valid values of each cell folded in order: a sort that can spill, then runs of bounded length, then bare values.
+
+    A cell's list holds no more than 8 bytes or so for each value; the order's columns end with the sort.
+    """
+    cell, rows = Window.partitionBy(*key), values.select(*key, F.col(order).alias("_o"), F.col(value).alias("_v"))
+    place = rows.select(*key, "_v", (F.row_number().over(cell.orderBy("_o", "_v")) - 1).alias("_n"))
+    runs = place.groupBy(*key, F.floor(F.col("_n") / RUN).alias("_run")).agg(F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_n", "_v")))).alias("_s"))
+    bare = runs.select(*key, F.struct("_run", F.transform("_s", lambda s: s["_v"]).alias("_v")).alias("_r"))
+    lists = F.flatten(F.transform(F.sort_array(F.collect_list("_r")), lambda r: r["_v"]))
+    return bare.groupBy(*key).agg(_fold(lists, method).alias(value))
+
+
 def merged(method, value: str = "v", order: str = "src") -> Column:
     """Aggregate of the valid values of a cell: a method's name, or a function of two columns to fold in order."""
     v, seen = F.col(value), F.col(value).isNotNull()
     if callable(method):
-        rows = F.array_sort(F.collect_list(F.when(seen, F.struct(F.col(order), v.alias("v")))))
-        rest = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-        return F.aggregate(rest, F.get(rows, F.lit(0))["v"], lambda a, s: method(a, s["v"]))
+        rows = F.sort_array(F.collect_list(F.when(seen, F.struct(F.col(order), v.alias("v")))))
+        return _fold(F.transform(rows, lambda s: s["v"]), method)
     made = {
         "first": lambda: F.min_by(v, F.when(seen, F.col(order))),
         "last": lambda: F.max_by(v, F.when(seen, F.col(order))),
@@ -172,7 +192,10 @@ def canvas(spark, rows: int, cols: int, step: int = 1000) -> DataFrame:
 
 def mosaic(values: DataFrame, method="first", key=("row", "col"), value: str = "v", order: str = "src", grid: DataFrame | None = None) -> DataFrame:
     """One value for each cell of overlapping sources; with ``grid``, a row for each of its cells."""
-    out = values.groupBy(*key).agg(merged(method, value, order).alias(value))
+    if callable(method):
+        out = folded(values if grid is None else values.where(F.col(value).isNotNull()), method, key, value, order)
+    else:
+        out = values.groupBy(*key).agg(merged(method, value, order).alias(value))
     return out if grid is None else grid.join(out, list(key), "left")
 
 

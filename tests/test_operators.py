@@ -131,3 +131,24 @@ def test_unknown_dataset(spark):
     lines = spark.createDataFrame([("20240101", "000000")], "date string, time string")
     with pytest.raises(ValueError):
         catalog.paths(lines, "/data", ["other"])
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_fold_of_long_cells(spark, grid):
+    """Several runs in a cell, in order from end to end; the order's columns are sorted as rows and not kept in lists."""
+    i = F.col("id")
+    rows = spark.range(3007).select(
+        F.lit(0).alias("row"), F.when(i % 50 == 7, 2).when(i % 50 == 3, 1).otherwise(0).cast("int").alias("col"),
+        F.struct((i * 7919 % 3001).alias("a"), i.alias("b")).alias("src"), F.when((i % 5 > 0) & (i % 50 != 7), (i % 13).cast("double")).alias("v"),
+    )
+    want = {0: None, 1: None, 2: None}
+    for r in sorted(rows.repartition(5).collect(), key=lambda r: r["src"]):
+        if r["v"] is not None:
+            want[r["col"]] = r["v"] if want[r["col"]] is None else want[r["col"]] * 0.5 + r["v"]
+    made = pixels.mosaic(rows.repartition(5), lambda a, b: a * 0.5 + b, grid=pixels.canvas(spark, 1, 4) if grid else None)
+    assert {r["col"]: r["v"] for r in made.collect()} == want | ({3: None} if grid else {})
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "row_number()" in plan
+    column = rows.groupBy("col").agg(pixels.merged(lambda a, b: a * 0.5 + b).alias("v"))
+    assert {r["col"]: r["v"] for r in column.collect()} == want
+    assert "array_sort(" not in column._jdf.queryExecution().optimizedPlan().toString()
