@@ -8,6 +8,8 @@ joined by cells of a coarse grid.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +73,11 @@ def bounds(edges: DataFrame) -> tuple[float, float, float, float]:
     return tuple(found)
 
 
-def crosses(x: Column, y: Column) -> Column:
-    """Whether the ray from a point to the right meets an edge."""
-    spans = (F.col("y1") > y) != (F.col("y2") > y)
-    return spans & (x < F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
+def crosses(x: Column, y: Column, edge: str = "") -> Column:
+    """Whether the ray from a point to the right meets an edge; ``edge``: what its columns' names begin with."""
+    x1, y1, x2, y2 = (F.col(edge + c) for c in ("x1", "y1", "x2", "y2"))
+    spans = (y1 > y) != (y2 > y)
+    return spans & (x < x1 + (y - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)))
 
 
 def inside(points: DataFrame, edges: DataFrame, id: str, x: str = "px", y: str = "py") -> DataFrame:
@@ -144,32 +147,36 @@ def scenes_for(scenes: DataFrame, area: tuple[float, float, float, float]) -> Da
 def scenes_exact(scenes: DataFrame, area: DataFrame) -> DataFrame:
     """Scenes whose polygons hold the whole area; of a date without such, those that meet it: geom_id, date, contains.
 
-    ``scenes``: edges with geom_id and date; ``area``: edges. Bounding boxes come first; then corners are tested by rays and
-    edges for crossings, met through bands of y.
+    ``scenes``: edges with geom_id and date, rings closed; ``area``: edges. Each scene edge within the area's range of y meets the
+    area's edges, sent whole up to ``SMALL_EDGES``, through bands of y whose number follows the area's edges. What is shuffled
+    are the hits: rays from the area's corners, rays from the scene's corners, and crossings.
     """
-    x0, y0, x1, y1 = bounds(area)
-    box = scenes.groupBy("geom_id", "date").agg(
-        F.min(F.least("x1", "x2")).alias("minx"), F.min(F.least("y1", "y2")).alias("miny"), F.max(F.greatest("x1", "x2")).alias("maxx"), F.max(F.greatest("y1", "y2")).alias("maxy")
-    )
-    near = box.where((F.col("minx") <= x1) & (F.col("maxx") >= x0) & (F.col("miny") <= y1) & (F.col("maxy") >= y0)).select("geom_id", "date")
-    edges = scenes.join(near.select("geom_id"), "geom_id")
-    corners = area.select(F.monotonically_increasing_id().alias("corner"), F.col("x1").alias("px"), F.col("y1").alias("py"))
-    held = inside(corners, edges, "corner").groupBy("geom_id").agg(F.count("*").alias("held"))
+    _, y0, _, y1 = bounds(area)
     total = area.count()
-    theirs = edges.select(F.col("geom_id").alias("scene"), F.monotonically_increasing_id().alias("corner"), F.col("x1").alias("px"), F.col("y1").alias("py"))
-    within = inside(theirs, area.withColumn("geom_id", F.lit(0)), "corner").join(theirs.select("corner", "scene"), "corner").select(F.col("scene").alias("geom_id")).distinct()
-    height = max((y1 - y0) / 64, 1e-12)
-    bands = lambda a, b: F.explode(F.sequence(F.floor((F.greatest(F.least(a, b), F.lit(y0)) - y0) / height), F.floor((F.least(F.greatest(a, b), F.lit(y1)) - y0) / height)))
-    reach = edges.where((F.least("y1", "y2") <= y1) & (F.greatest("y1", "y2") >= y0)).withColumn("band", bands(F.col("y1"), F.col("y2")))
-    mine = area.select(*[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")]).withColumn("band", bands(F.col("ay1"), F.col("ay2")))
+    bands = min(max(total // 16, 1), 1024)
+    height = max((y1 - y0) / bands, 1e-12)
+    band = lambda y: F.floor((y - y0) / height)
+    spread = lambda a, b: F.explode(F.sequence(band(F.greatest(F.least(a, b), F.lit(y0))), band(F.least(F.greatest(a, b), F.lit(y1)))))
+    theirs = scenes.select("geom_id", "date", "x1", "y1", "x2", "y2").where((F.least("y1", "y2") <= y1) & (F.greatest("y1", "y2") >= y0)).withColumn("edge", F.monotonically_increasing_id())
+    mine = area.select(F.monotonically_increasing_id().alias("corner"), *[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")])
+    if bands > 1:
+        theirs, mine = theirs.withColumn("band", spread(F.col("y1"), F.col("y2"))), mine.withColumn("band", spread(F.col("ay1"), F.col("ay2")))
+        pairs = theirs.join(F.broadcast(mine) if total <= SMALL_EDGES else mine, "band")
+        here = lambda y: F.col("band") == band(F.col(y))
+    else:
+        pairs, here = theirs.join(F.broadcast(mine)), lambda y: F.lit(True)
 
     def side(px: str, py: str, qx: str, qy: str, rx: str, ry: str) -> Column:
         return (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
 
     met = (side("x1", "y1", "x2", "y2", "ax1", "ay1") * side("x1", "y1", "x2", "y2", "ax2", "ay2") < 0) & (side("ax1", "ay1", "ax2", "ay2", "x1", "y1") * side("ax1", "ay1", "ax2", "ay2", "x2", "y2") < 0)
-    cut = reach.join(mine, "band").where(met).select("geom_id").distinct().withColumn("cut", F.lit(True))
-    found = near.join(held, "geom_id", "left").join(cut, "geom_id", "left").join(within.withColumn("within", F.lit(True)), "geom_id", "left")
-    found = found.withColumn("contains", (F.coalesce("held", F.lit(0)) == total) & F.col("cut").isNull())
-    found = found.where("contains OR held > 0 OR cut OR within")
-    any_ = found.groupBy("date").agg(F.max("contains").alias("any"))
-    return found.join(any_, "date").where("contains OR NOT any").select("geom_id", "date", "contains")
+    # A ray counts in the band of its corner; a crossing may be found in several.
+    hits = {"held": (here("ay1") & crosses(F.col("ax1"), F.col("ay1")), F.col("corner")), "within": (here("y1") & crosses(F.col("x1"), F.col("y1"), "a"), F.col("edge")), "cut": (met, F.lit(0).cast("long"))}
+    each = F.explode(F.array(*[F.when(hit, F.struct(F.lit(kind).alias("kind"), k.alias("k"))) for kind, (hit, k) in hits.items()]))
+    found = pairs.where(reduce(lambda a, b: a | b, [hit for hit, _ in hits.values()])).select("geom_id", "date", each.alias("h")).where("h IS NOT NULL").select("geom_id", "date", "h.*")
+    odd = found.groupBy("geom_id", "date", "kind", "k").agg(F.count("*").alias("n")).where("kind = 'cut' OR n % 2 = 1")
+    # Each scene that is left holds a corner, has one inside, or is cut.
+    held, cut = F.sum((F.col("kind") == "held").cast("int")), F.max(F.col("kind") == "cut")
+    met_by = odd.groupBy("geom_id", "date").agg(((held == total) & ~cut).alias("contains"))
+    any_ = met_by.groupBy("date").agg(F.max("contains").alias("any"))
+    return met_by.join(any_, "date").where("contains OR NOT any").select("geom_id", "date", "contains")

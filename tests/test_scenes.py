@@ -238,6 +238,40 @@ def test_scenes_exact(spark):
     assert got == {(1, True), (4, False), (5, False)}
 
 
+@pytest.mark.parametrize("corners,small", [(3, 10_000), (40, 10_000), (40, 10)])
+def test_scenes_exact_by_brute_force(spark, monkeypatch, corners, small):
+    """An area of few edges, of several bands, and one too large to be sent whole."""
+    monkeypatch.setattr(geometry, "SMALL_EDGES", small)
+    rng = np.random.default_rng(corners)
+    turn = 2 * np.pi * np.arange(corners) / corners
+    ring = [(50 + r * np.cos(t), 50 + r * np.sin(t)) for t, r in zip(turn, 6 + 6 * rng.random(corners))]
+    shapes = {}
+    for g in range(300):
+        x, y, w, h = rng.uniform(0, 80), rng.uniform(0, 80), *rng.choice([1.0, 9.0, 60.0], 2)
+        shapes[g] = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)][: 3 + g % 2]
+    sides = lambda ring: list(zip(ring, [*ring[1:], ring[0]]))
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def holds(ring, p):
+        return sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < a[0] + (p[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in sides(ring)) % 2 == 1
+
+    met, date = {}, {g: f"d{g // 12}" for g in shapes}
+    for g, shape in shapes.items():
+        cut = any(side(*e, a[0]) * side(*e, a[1]) < 0 and side(*a, e[0]) * side(*a, e[1]) < 0 for e in sides(shape) for a in sides(ring))
+        held = [holds(shape, p) for p in ring]
+        if cut or any(held) or any(holds(ring, p) for p in shape):
+            met[g] = all(held) and not cut
+    full = {date[g] for g, contains in met.items() if contains}
+    want = {(g, date[g], c) for g, c in met.items() if c or date[g] not in full}
+    rows = spark.createDataFrame(list(date.items()), "geom_id int, date string")
+    edges = geometry.edges_of(spark, {g: [s] for g, s in shapes.items()}).join(rows, "geom_id")
+    made = geometry.scenes_exact(edges, geometry.edges_of(spark, {0: [ring]}))
+    assert {tuple(r) for r in made.collect()} == want and {c for *_, c in want} == {True, False}
+    # Beside few edges, no row is made for each band that a scene's edge passes.
+    if corners == 3:
+        assert "sequence(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_loader(spark, line):
     root, path, rdn, _ = line
     lines = box(spark, 499000, 3799000, 501000, 3801000).withColumns({"date": F.lit("20220224"), "time": F.lit("200332")})
